@@ -14,15 +14,20 @@ def norm(a: Column) -> Column:
     return F.sqrt(dot(a, a))
 
 
+def _once(value: Column, use) -> Column:
+    """``use(value)`` with ``value`` evaluated once: a lambda's variable isn't copied as an expression is."""
+    return F.transform(F.array(value), use)[0]
+
+
 def normalise(a: Column) -> Column:
     """Unit vector; the norm is taken as at least 1e-12, so a zero vector stays one."""
     length = F.greatest(norm(a), F.lit(1e-12))
-    return F.transform(a, lambda x: x.cast("double") / length)
+    return _once(F.struct(a.alias("v"), length.alias("n")), lambda s: F.transform(s["v"], lambda x: x.cast("double") / s["n"]))
 
 
 def centre(a: Column, mean: Column) -> Column:
     """``a`` less ``mean``, at unit length."""
-    return normalise(F.zip_with(a, mean, lambda x, m: x.cast("double") - m.cast("double")))
+    return _once(F.zip_with(a, mean, lambda x, m: x.cast("double") - m.cast("double")), normalise)
 
 
 def is_finite(a: Column) -> Column:

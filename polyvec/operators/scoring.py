@@ -167,14 +167,14 @@ def expand_ranges(ranges: DataFrame) -> DataFrame:
     return ranges.where("len > 0").select("id", F.explode(F.expr("sequence(start, start + len - 1)")).alias("value"))
 
 
-def hybrid(dense: DataFrame, lexical: DataFrame, alpha: float = 0.3, digits: int = 6) -> DataFrame:
+def hybrid(dense: DataFrame, lexical: DataFrame, alpha: float = 0.3, digits: int = 9) -> DataFrame:
     """``dense + alpha * lexical``; a pair without a lexical score has 0 there."""
     lex = lexical.withColumnRenamed("score", "lex")
     fused = dense.join(lex, ["query_id", "doc_id"], "left")
     return fused.select("query_id", "doc_id", F.round(F.col("score") + F.lit(alpha) * F.coalesce("lex", F.lit(0.0)), digits).alias("score"))
 
 
-def weighted_fusion(parts: list[tuple[float, DataFrame]], digits: int = 6) -> DataFrame:
+def weighted_fusion(parts: list[tuple[float, DataFrame]], digits: int = 9) -> DataFrame:
     """Weighted sum of several scores; the pairs are those of the first, others count 0 where missing."""
     (weight, first), *rest = parts
     out = first.select("query_id", "doc_id", (F.lit(weight) * F.col("score")).alias("score"))
