@@ -229,7 +229,7 @@ def _best(q_ids, q, v_ids, v, k: int, least: float | None) -> tuple[np.ndarray,
 
 def most_similar(
     df: DataFrame, key: str, vector: str, k: int = 5, dim: int = 64, min_cosine: float | None = None, query: Column | None = None,
-    leaf: int = 8192, sample: int = 16384, mass: float = 0.9, spread: float = 3.0, block: int = 16384, seed: int = 7,
+    leaf: int = 8192, sample: int = 16384, mass: float = 0.95, spread: float = 2.0, block: int = 16384, seed: int = 7,
 ) -> DataFrame:
     """``(<key>, neighbour, cosine, rank)``: the ``k`` other ids most similar to each id, ties by id ascending.
 
