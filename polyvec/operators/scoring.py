@@ -12,6 +12,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -60,6 +61,19 @@ class Best:
                 yield pa.RecordBatch.from_arrays([pa.array([q] * len(held), q_type), pa.array([d for _, d in held], d_type), pa.array([-s + 0.0 for s, _ in held], pa.float64())], names=["query_id", "doc_id", "score"])
 
 
+def _all_pairs(ids: list, batch: pa.RecordBatch, matrix: np.ndarray, digits: int, exclude_self: bool, q_type: pa.DataType) -> Iterator[pa.RecordBatch]:
+    """Every pair of a batch, a few documents at a time, without a Python object per pair."""
+    query_ids = pa.array(ids, q_type)
+    step = max(1, 500_000 // len(ids))
+    for at in range(0, batch.num_rows, step):
+        piece = batch.slice(at, step)
+        scores = np.round(_vectors(piece.column(1)) @ matrix.T, digits) + 0.0
+        q = query_ids.take(pa.array(np.tile(np.arange(len(ids)), piece.num_rows)))
+        d = piece.column(0).take(pa.array(np.repeat(np.arange(piece.num_rows), len(ids))))
+        out = pa.RecordBatch.from_arrays([q, d, pa.array(scores.ravel())], names=["query_id", "doc_id", "score"])
+        yield out.filter(pa.compute.not_equal(q, d)) if exclude_self and q.type == d.type else out
+
+
 def dense_scores(queries: DataFrame, docs: DataFrame, k: int | None = None, exclude_self: bool = False, digits: int = 6, dim: int = 64) -> DataFrame:
     """Dot products of ``(id, vec)`` with ``(id, vec)``, rounded to ``digits``; the ``k`` best per query and task if given."""
     schema = f"query_id {_kind(queries)}, doc_id {_kind(docs)}, score double"
@@ -76,11 +90,18 @@ def dense_scores(queries: DataFrame, docs: DataFrame, k: int | None = None, excl
                 if not batch.num_rows or not len(ids):
                     continue
                 d_type = batch.schema.field(0).type
+                if k is None:
+                    yield from _all_pairs(ids, batch, matrix, digits, exclude_self, q_arrow(ids))
+                    continue
                 best.add(matrix @ _vectors(batch.column(1)).T, batch.column(0).to_pylist(), (lambda q: ids[q]) if exclude_self else None)
             if d_type is not None:
-                yield from best.rows(ids, pa.array(ids).type if q_kind == "string" else pa.int32() if q_kind == "int" else pa.int64(), d_type)
+                yield from best.rows(ids, q_arrow(ids), d_type)
 
         q_kind = q_type["id"].dataType.simpleString()
+
+        def q_arrow(ids: list, q_kind: str = q_kind) -> pa.DataType:
+            return pa.array(ids).type if q_kind == "string" else pa.int32() if q_kind == "int" else pa.int64()
+
         part = docs.select("id", "vec").mapInArrow(run, schema)
         out = part if out is None else out.unionByName(part)
     return out
