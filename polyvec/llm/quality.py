@@ -7,6 +7,10 @@ itself, and summaries are merged pairwise up a tree. A summary keeps its first a
 and knows whether it begins or ends inside a token, so that a line or token cut by a chunk's edge
 counts once when neighbours merge.
 
+One fragment over and over is found by word shingles: those of five words that come at least six
+times cover more than half of the words' characters. A summary counts the shingles of smallest hash
+only, and of these every occurrence, whatever the chunks; up to ``SAMPLE`` distinct ones that is all.
+
 Words are runs of letters and digits; each Chinese or Japanese character is a word by itself.
 """
 
@@ -34,6 +38,7 @@ COMMON = frozenset(
 _LINES = re.compile(r"\r\n|[\n\r\v\f\x85  ]")
 _IDEOGRAPH = r"぀-ヿ㐀-䶿一-鿿가-힯"
 _WORD = re.compile(rf"[{_IDEOGRAPH}]|[^\W_{_IDEOGRAPH}]+")
+_RUN = re.compile(rf"[^\W_{_IDEOGRAPH}]")
 _IDEO = re.compile(rf"[{_IDEOGRAPH}]")
 _SENTENCE_END = re.compile(r"[.!?…。！？][\"'”’»)\]」]*$|\[\d+\]\.?$")
 _LINE_END = re.compile(r"[.!?:;,…。！？；：，\"'”’»)\]]$")
@@ -54,6 +59,10 @@ _SYMBOL = re.compile(r"[^\w\s]|_")
 FEATURES = ("solid", "symbols", "words", "word_chars", "common", "tokens", "numbers", "single", "ideographs", "stops", "commas", "semis", "bars", "dots", "slashes", "tabs", "gaps", "tight", "tight_semis", "broken", "boxes", "vowels", "latin", "code_chars", "upper", "rules", "marked", "ends_stop", "ends_punct")
 _AT = {name: i for i, name in enumerate(FEATURES)}
 BINS = 256
+SHINGLE, OFTEN = 5, 6  # words of a shingle; a shingle that comes so many times is a repeated one
+EDGE = SHINGLE + 1  # words kept at each edge of a chunk
+SAMPLE = 4096
+WORD = 64  # characters of a word that are told apart
 KINDS = ("table", "list", "junk")
 
 #: Sums over closed lines, in this order.
@@ -121,18 +130,66 @@ def line_kind(f: list[int]) -> str:
     return "prose"
 
 
+class Shingles:
+    """Occurrences and characters of the ``SAMPLE`` distinct shingles of smallest hash; characters of all."""
+
+    __slots__ = ("hashes", "counts", "chars", "total")
+
+    def __init__(self, hashes=(), counts=(), chars=(), total: int = 0) -> None:
+        self.hashes, self.counts, self.chars = np.array(hashes, np.uint64), np.array(counts, np.int64), np.array(chars, np.int64)
+        self.total = total
+
+    def plus(self, hashes: np.ndarray, counts: np.ndarray, chars: np.ndarray, total: int) -> Shingles:
+        out = Shingles(total=self.total + total)
+        out.hashes, at = np.unique(np.concatenate([self.hashes, hashes]), return_inverse=True)
+        out.counts, out.chars = (np.bincount(at, np.concatenate(both), len(out.hashes)).astype(np.int64) for both in ((self.counts, counts), (self.chars, chars)))
+        out.hashes, out.counts, out.chars = out.hashes[:SAMPLE], out.counts[:SAMPLE], out.chars[:SAMPLE]
+        return out
+
+    def repeated(self) -> float:
+        """Characters of the repeated shingles. What isn't repeated is carried on from the sample: a few repeated ones need not be in it."""
+        single = float(self.chars[self.counts < OFTEN].sum())
+        if len(self.hashes) == SAMPLE:  # of SAMPLE - 1 below the last hash
+            single = float(self.chars[:-1][self.counts[:-1] < OFTEN].sum()) / ((float(self.hashes[-1]) + 1) / 2.0**64)
+        return max(self.total - single, 0.0)
+
+    def pack(self) -> list:
+        return [self.hashes.tolist(), self.counts.tolist(), self.chars.tolist(), self.total]
+
+
+_FACTORS = np.array([pow(0x9E3779B97F4A7C15, 2 * i + 1, 2**64) for i in range(EDGE)], np.uint64)
+
+
+def _hashed(keys: np.ndarray, width: int) -> np.ndarray:
+    """Hashes of the runs of ``width`` words, evenly spread over 64 bits."""
+    n = len(keys) - width + 1
+    h = np.zeros(n, np.uint64)
+    for i in range(width):
+        h += keys[i : i + n] * _FACTORS[i]
+    for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB), (31, 1)):
+        h = (h ^ (h >> np.uint64(shift))) * np.uint64(factor)
+    return h
+
+
 class Summary:
-    """What is known of a chunk: sums over its closed lines, word bins, and its open first and last line."""
+    """What is known of a chunk: sums over its closed lines, word bins and shingles of its closed words, and its open first and last line.
+
+    The first and the last word are open. ``first`` and ``last`` hold ``EDGE`` words each, as their first
+    characters and length; a chunk of at most twice as many words has all in ``first`` and none closed.
+    """
 
-    __slots__ = ("sums", "bins", "head", "tail", "left", "right")
+    __slots__ = ("sums", "bins", "short", "long", "first", "last", "head", "tail", "left", "right")
 
     def __init__(self) -> None:
         self.sums = [0] * len(SUMS)
         self.bins = np.zeros(BINS, np.int64)
+        self.short, self.long = Shingles(), Shingles()  # of SHINGLE and EDGE words
+        self.first: list[tuple[str, int]] = []
+        self.last: list[tuple[str, int]] | None = None
         self.head: list[int] | None = None  # the only line if tail is None
         self.tail: list[int] | None = None
-        self.left = (False, False)  # begins inside a token; its first word is a common one
-        self.right = (False, False)
+        self.left = (False, False, False)  # begins inside a token; its first word is a common one; begins inside a word
+        self.right = (False, False, False)
 
     def close(self, f: list[int]) -> None:
         kind = line_kind(f)
@@ -150,22 +207,59 @@ class Summary:
             s[13] += g("common")
             s[14] += 1
 
+    def close_words(self, words: list[tuple[str, int]], lo: int, hi: int, begin: int = 0, end: int | None = None, whole: bool = False) -> None:
+        """Words ``lo`` to ``hi`` are closed now, those from ``begin`` to ``end`` were or are: count the former, and the shingles with one of them.
+
+        Shingles of a ``whole`` text are left out where words that come often enough are too few to make it a case.
+        """
+        end = len(words) if end is None else end
+        if lo >= hi:
+            return
+        keys = np.fromiter((zlib.crc32(w.encode("utf-8", "surrogatepass")) for w, _ in words), np.uint64, len(words))
+        at = keys[lo:hi].astype(np.int64) % BINS
+        self.bins += np.bincount(at, minlength=BINS)
+        lengths = np.fromiter((n for _, n in words), np.int64, len(words))
+        if whole and lengths[self.bins[at] >= OFTEN].sum() * 2 <= lengths.sum():
+            return
+        chars = np.concatenate([[0], np.cumsum(lengths)])
+        for name, width, inner in (("short", SHINGLE, 0), ("long", EDGE, 1)):
+            a, b = max(begin, lo - width + 1), min(end - width + 1, hi)
+            if a < b:
+                at = np.arange(a, b)
+                weight = chars[at + width - inner] - chars[at + inner]  # of a longer one: what its two shorter ones share
+                setattr(self, name, getattr(self, name).plus(_hashed(keys[a : b + width - 1], width), np.ones(b - a, np.int64), weight, int(weight.sum())))
+
+    def open_words(self, words: list[tuple[str, int]]) -> None:
+        """Take the words of a text of which none is counted yet."""
+        self.first = words
+        if len(words) > 2 * EDGE:
+            self.close_words(words, 1, len(words) - 1, 1, len(words) - 1)
+            self.first, self.last = words[:EDGE], words[-EDGE:]
+
+    def covered(self) -> float:
+        """Characters of words in repeated shingles: neighbours in a run of such share all words but two."""
+        return self.short.repeated() - self.long.repeated()
+
     def pack(self) -> str:
-        return json.dumps([self.sums, self.bins.tolist(), self.head, self.tail, self.left, self.right])
+        return json.dumps([self.sums, self.bins.tolist(), self.short.pack(), self.long.pack(), self.first, self.last, self.head, self.tail, self.left, self.right])
 
     @classmethod
     def unpack(cls, packed: str) -> Summary:
         self = cls()
-        self.sums, bins, self.head, self.tail, self.left, self.right = json.loads(packed)
+        self.sums, bins, short, long, self.first, self.last, self.head, self.tail, self.left, self.right = json.loads(packed)
         self.bins = np.array(bins, np.int64)
+        self.short, self.long = Shingles(*short), Shingles(*long)
         return self
 
 
-def summarise(chunk: str) -> Summary:
-    """The summary of one chunk; ``merge`` puts summaries of consecutive chunks together."""
+def summarise(chunk: str, whole: bool = False) -> Summary:
+    """The summary of one chunk; ``merge`` puts summaries of consecutive chunks together, not that of a ``whole`` text."""
     out = Summary()
-    for word in _WORD.findall(chunk.lower()):
-        out.bins[zlib.crc32(word.encode("utf-8", "surrogatepass")) % BINS] += 1
+    words = [(word[:WORD], len(word)) for word in _WORD.findall(chunk.lower())]
+    if whole:
+        out.close_words(words, 0, len(words), whole=True)
+    else:
+        out.open_words(words)
     lines = _LINES.split(chunk)
     measured = [measure(line) for line in lines]
     out.head = measured[0]
@@ -175,8 +269,8 @@ def summarise(chunk: str) -> Summary:
             out.close(f)
     solid = [m for m in _WORD.finditer(chunk[:80].lower())][:1], [m for m in _WORD.finditer(chunk[-80:].lower())][-1:]
     first, last = (s[0].group() if s else "" for s in solid)
-    out.left = (bool(chunk) and not chunk[0].isspace(), first in COMMON)
-    out.right = (bool(chunk) and not chunk[-1].isspace(), last in COMMON)
+    out.left = (bool(chunk) and not chunk[0].isspace(), first in COMMON, bool(_RUN.match(chunk[:1])))
+    out.right = (bool(chunk) and not chunk[-1].isspace(), last in COMMON, bool(_RUN.match(chunk[-1:])))
     return out
 
 
@@ -192,11 +286,31 @@ def _join(a: list[int], b: list[int], inside: bool, common: int) -> list[int]:
     return f
 
 
+def _merge_words(out: Summary, a: Summary, b: Summary) -> None:
+    """The words of ``a`` and ``b``: one that was cut in two is joined, those at the cut are closed."""
+    out.bins = a.bins + b.bins
+    for name in ("short", "long"):
+        x, y = getattr(a, name), getattr(b, name)
+        setattr(out, name, x.plus(y.hashes, y.counts, y.chars, y.total) if y.total else x)
+    x, y = a.first if a.last is None else a.last, b.first
+    if a.right[2] and b.left[2]:
+        words = [*x[:-1], ((x[-1][0] + y[0][0])[:WORD], x[-1][1] + y[0][1]), *y[1:]]
+    else:
+        words = [*x, *y]
+    if a.last is None and b.last is None:
+        return out.open_words(words)
+    lo, begin = (1, 1) if a.last is None else (EDGE - 1, 0)
+    hi, end = (len(words) - 1, len(words) - 1) if b.last is None else (len(words) - EDGE + 1, len(words))
+    out.close_words(words, lo, hi, begin, end)
+    out.first = words[:EDGE] if a.last is None else a.first
+    out.last = words[-EDGE:] if b.last is None else b.last
+
+
 def merge(a: Summary, b: Summary) -> Summary:
     """The summary of two neighbouring chunks; associative."""
     out = Summary()
     out.sums = [x + y for x, y in zip(a.sums, b.sums)]
-    out.bins = a.bins + b.bins
+    _merge_words(out, a, b)
     out.left, out.right = a.left, b.right
     inside = a.right[0] and b.left[0]
     line = _join(a.head if a.tail is None else a.tail, b.head, inside, int(a.right[1]) + int(b.left[1]))
@@ -218,21 +332,28 @@ STATISTICS = ("words", "mean_word_length", "symbol_ratio", "punct_line_share", "
 def derive(summary: Summary) -> tuple[int, float | None, float | None, float | None, float | None, str | None]:
     """``STATISTICS`` of a whole text; ratios without anything to count are null, ``kind`` is null for prose and blank texts."""
     whole = Summary()
-    whole.sums, whole.bins = list(summary.sums), summary.bins
+    whole.sums, whole.bins, whole.short, whole.long = list(summary.sums), summary.bins.copy(), summary.short, summary.long
+    if summary.last is None:
+        whole.close_words(summary.first, 0, len(summary.first))
+    else:
+        whole.close_words(summary.first, 0, 1)
+        whole.close_words(summary.last, EDGE - 1, EDGE)
     for f in (summary.head, summary.tail):
         if f is not None:
             whole.close(f)
     s = dict(zip(SUMS, whole.sums))
     ratio = lambda a, b: a / b if b else None
-    return (s["words"], ratio(s["word_chars"], s["words"]), ratio(s["symbols"], s["solid"]), ratio(s["punct_lines"], s["lines"]), ratio(s["common"], s["words"]), _kind(s, whole.bins))
+    return (s["words"], ratio(s["word_chars"], s["words"]), ratio(s["symbols"], s["solid"]), ratio(s["punct_lines"], s["lines"]), ratio(s["common"], s["words"]), _kind(s, whole.bins, whole.covered()))
 
 
-def _kind(s: dict[str, int], bins: np.ndarray) -> str | None:
+def _kind(s: dict[str, int], bins: np.ndarray, covered: float) -> str | None:
     if not s["solid"]:
         return None
+    if covered * 2 > s["word_chars"] and s["table_chars"] * 2 <= s["solid"]:
+        return "junk"  # one fragment over and over
     used = int((bins > 0).sum())
     if s["words"] >= 12 and used * 5 <= s["words"] and used <= 24 and s["table_chars"] * 2 <= s["solid"]:
-        return "junk"  # one fragment over and over
+        return "junk"  # the same few words
     short = s["short_chars"]
     # Short lines with common words and sentence ends are a narrow paragraph.
     as_prose = s["short_common"] * 12 >= s["short_words"] or s["short_lines"] < 3 or s["stops"] * 8 >= s["short_lines"]
@@ -277,7 +398,7 @@ def text_statistics(df: DataFrame, key: str, text: str, chunk: int = 1_000_000,
 
     def small(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield batch_of(batch.column(0), [derive(summarise(t.as_py() or "")) for t in batch.column(1)])
+            yield batch_of(batch.column(0), [derive(summarise(t.as_py() or "", whole=True)) for t in batch.column(1)])
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

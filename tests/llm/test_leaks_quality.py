@@ -89,3 +89,39 @@ def test_text_statistics(spark):
         w = next(x for x in whole if x[0] == r[0])
         assert tuple(r)[1] == w[1] and tuple(r)[2:6] == pytest.approx(w[2:6]) if w[2] else tuple(r) == w
     assert Q.text_statistics(df.limit(0), "doc_id", "text").count() == 0
+
+
+NOTICE = " ".join(f"{w}{i}" for i, w in enumerate("this page was saved by an archive whose owner asks readers not to copy or print any part of it for use".split())) + " unless they first write to us here. "
+WIDE = " ".join(f"{a}{b}{c}" for a in _W[:12] for b in _W[12:24] for c in "xyz")
+IDEOGRAPHS = "".join(chr(0x4E00 + 37 * i) for i in range(30)) + "。"
+
+
+@pytest.mark.parametrize(("text", "kind"), [
+    (NOTICE * 1000, "junk"), (IDEOGRAPHS * 100, "junk"), (NOTICE.replace(" ", "\n") * 40, "junk"),
+    (PROSE * 2 + "rural wage sharply! " * 60, "junk"), (WIDE + "\n" + NOTICE * 80, "junk"), (WIDE + " " + NOTICE * 10, None), (NOTICE * 5, None), (LONG * 3 + NOTICE * 7, None),
+    ("\n".join(f"{w} {w}x {w}y was seen.\nClick here to share this page with all of your own friends." for w in WIDE.split()), "junk"),
+    (" ".join(f"{w}{i}" for i in range(20) for w in WIDE.split()), None), (" ".join(f"{w}{i}" for i in range(20) for w in WIDE.split()) + NOTICE * 1500, "junk"),
+])
+def test_one_fragment_over_and_over(text, kind):
+    assert Q.derive(Q.summarise(text, whole=True))[5] == kind
+    for size in (61, 333, 5000):
+        if len(text) < 200 * size:
+            parts = [Q.Summary.unpack(Q.summarise(c).pack()) for c in Q.chunks(text, size)]
+            while len(parts) > 1:
+                parts = [Q.merge(*parts[i : i + 2]) if len(parts[i : i + 2]) == 2 else parts[i] for i in range(0, len(parts), 2)]
+            assert Q.derive(parts[0])[5] == kind
+
+
+def test_repeats_do_not_depend_on_cuts():
+    rng = random.Random(3)
+    text = "".join(rng.choice(["ab ", "cd", "e-f ", "中文", " gh\n", "ij kl mn op qr st "]) for _ in range(900))
+    sizes, seen = (1, 2, 5, 17, 60, 10**6), []
+    for size in sizes:
+        parts = [Q.summarise(text[i : i + size]) for i in range(0, len(text), size)]
+        while len(parts) > 1:
+            parts = [Q.merge(*parts[i : i + 2]) if len(parts[i : i + 2]) == 2 else parts[i] for i in range(0, len(parts), 2)]
+        one = parts[0]
+        one.close_words(one.first, 0, 1)
+        one.close_words(one.last, Q.EDGE - 1, Q.EDGE)
+        seen.append((one.bins.tolist(), one.short.pack(), one.long.pack()))
+    assert all(x == seen[-1] for x in seen)
