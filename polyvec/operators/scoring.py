@@ -13,9 +13,11 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute  # noqa: F401
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from polyvec.plans.shared import checkpoint
+
 BLOCK_FLOATS = 4_000_000  # floats of the query side in one broadcast
 
 
@@ -183,6 +185,20 @@ def postings_read(queries: DataFrame, docs: DataFrame) -> DataFrame:
     return queries.join(df, "term", "left").groupBy(F.col("id").alias("query_id")).agg(F.coalesce(F.sum("df"), F.lit(0)).alias("postings"))
 
 
+def running_offsets(lengths: DataFrame, partitions: int | None = None) -> DataFrame:
+    """``(id, len)`` with ``start``, the sum of ``len`` over all smaller ids.
+
+    Ids are range-partitioned; each partition sums up its own, and the totals of those before it are added.
+    """
+    ranged = lengths.repartitionByRange(partitions, "id") if partitions else lengths.repartitionByRange("id")
+    parts = checkpoint(ranged.select("id", "len", F.spark_partition_id().alias("part")))  # the same parts both times
+    earlier = Window.rowsBetween(Window.unboundedPreceding, -1)
+    totals = parts.groupBy("part").agg(F.sum("len").alias("total"))
+    before = totals.select("part", F.coalesce(F.sum("total").over(earlier.orderBy("part")), F.lit(0)).alias("before"))
+    within = F.coalesce(F.sum("len").over(earlier.partitionBy("part").orderBy("id")), F.lit(0))
+    return parts.withColumn("within", within).join(F.broadcast(before), "part").select("id", "len", (F.col("within") + F.col("before")).alias("start"))
+
+
 def expand_ranges(ranges: DataFrame) -> DataFrame:
     """``(id, value)``: every integer of ``[start, start + len)``; lengths of 0 give nothing."""
     return ranges.where("len > 0").select("id", F.explode(F.expr("sequence(start, start + len - 1)")).alias("value"))

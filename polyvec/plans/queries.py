@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from polyvec.functions import text as T
@@ -556,8 +556,7 @@ def judged_queries(spark: SparkSession, d: str) -> DataFrame:
 def corpus_ranges(spark: SparkSession, d: str) -> DataFrame:
     """Places of every document's tokens in one flat array: running offsets, then ranges written out."""
     lengths = S.token_bags(spark, d).groupBy("id").agg(F.count(F.lit(1)).alias("len"))
-    upto = F.sum("len").over(Window.partitionBy(F.substring("id", 1, 3)).orderBy("id").rowsBetween(Window.unboundedPreceding, -1))
-    return scoring.expand_ranges(lengths.withColumn("start", F.coalesce(upto, F.lit(0))))
+    return scoring.expand_ranges(scoring.running_offsets(lengths))
 
 
 _ALL = (

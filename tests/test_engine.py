@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from polyvec.functions import text as T
 from polyvec.functions.vectors import centre, dot, normalise
 from polyvec.operators import encode, metrics, rank, router, scorers, scoring, stats
-from polyvec.plans import pipeline
+from polyvec.plans import pipeline, queries
 from polyvec.sources import tables as S
 from polyvec.streaming import segments
 
@@ -95,6 +95,24 @@ def test_sparse_product_and_index(spark):
     assert sorted(r["value"] for r in scoring.expand_ranges(ranges).collect()) == [10, 11, 12, 50, 51]
 
 
+@pytest.mark.parametrize("partitions", [None, 1, 7])
+def test_running_offsets_are_of_one_array(spark, partitions):
+    rng = random.Random(5)
+    lengths = {f"{p}-{i}": rng.randint(1, 9) for p in ("000", "NUT", "deb") for i in range(60)}
+    found = scoring.running_offsets(spark.createDataFrame(list(lengths.items()), "id string, len bigint").repartition(3), partitions).collect()
+    at = 0
+    for r in sorted(found):
+        assert (r["len"], r["start"]) == (lengths[r["id"]], at)
+        at += r["len"]
+    assert len(found) == len(lengths)
+
+
+def test_corpus_ranges_name_each_token_once(spark):
+    rows = queries.corpus_ranges(spark, "/root/testdata/sf0.001").collect()
+    assert sorted(r["value"] for r in rows) == list(range(len(rows)))
+    assert [r["id"] for r in sorted(rows, key=lambda r: r["value"])] == sorted(r["id"] for r in rows)
+
+
 def test_anchors_are_unit_and_seeded():
     a, b = encode.directions(3, 40, 16), encode.directions(4, 40, 16)
     assert np.linalg.norm(a, axis=1) == pytest.approx(np.ones(40)) and not np.allclose(a, b) and (a == encode.directions(3, 40, 16)).all()
