@@ -6,7 +6,8 @@ item decides: a leak is a passage of at least ``least`` consecutive item words o
 in ten is changed, missing or added. A passage begins and ends with a word that both share.
 
 With n = 5 no such passage escapes the lookup: 12 words with one error keep a run of 6, and longer
-passages keep longer ones. Items are sent out in blocks of bounded size, one scan of the corpus a
+passages keep longer ones. Words that a document divides, as "held out" for "held-out", are looked
+up joined as well, in every combination that gives words of the items. Items are sent out in blocks of bounded size, one scan of the corpus a
 block; a usual evaluation set is one block.
 """
 
@@ -35,12 +36,12 @@ _COMMENT = re.compile(r"<!--.*?-->", re.S)
 _INLINE = re.compile(r"</?(?:em|i|b|strong|span|mark|u|a|s|sub|sup|font|code|wbr|small|big|tt|kbd|abbr|cite|q|ins|del)(?:\s[^<>]{0,400})?/?>", re.I)
 _TAG = re.compile(r"</?[a-zA-Z!?][^<>]{0,400}>")
 _LINK = re.compile(r"\]\([^()\s]{0,400}\)")
-_DIVIDED = re.compile(r"(?<=\w)[-\u2010\u2011\u00ac]+[ \t]*(?:\r\n?|\n|\u2028)\s*(?:[>|*#]+\s*)*(?=\w)")
+_DIVIDED = re.compile(r"(?<=\w)[-\u2010\u2011\u00ac\u00ad]+[ \t]*(?:\r\n?|\n|\u2028)\s*(?:[>|*#]+\s*)*(?=\w)")
 _SENTENCE = re.compile(r"(?<=[a-z0-9])[.!?]+(?=[A-Z][a-z])")
 _THOUSAND = re.compile(r"(?<=\d),(?=\d{3}\b)")
 _PARTING = re.compile(r"[\s\u2012-\u2015\u2026,;:|()\[\]{}<>=\"\u201c\u201d\u201e\u00ab\u00bb\u00b7\u2022]+")
 _NOT_WORD = re.compile(r"[\W_]+")
-_INVISIBLE = {c: None for c in [0xAD, 0x34F, 0x61C, 0x115F, 0x1160, 0x17B4, 0x17B5, 0x180E, *range(0x200B, 0x2010), *range(0x202A, 0x202F), *range(0x2060, 0x2070), 0xFEFF, *range(0xFE00, 0xFE10), *range(0x00, 0x09), *range(0x0E, 0x20), *range(0x7F, 0x85), *range(0x86, 0xA0)]}
+_INVISIBLE = {c: None for c in [0x34F, 0x61C, 0x115F, 0x1160, 0x17B4, 0x17B5, 0x180E, *range(0x200B, 0x2010), *range(0x202A, 0x202F), *range(0x2060, 0x2070), 0xFEFF, *range(0xFE00, 0xFE10), *range(0x00, 0x09), *range(0x0E, 0x20), *range(0x7F, 0x85), *range(0x86, 0xA0)]}
 _PLAIN = re.compile(r"[\x20-\x7e\n\r\t]*")
 
 
@@ -54,6 +55,11 @@ def _unpercent(m: re.Match) -> str:
 
 def normalise(text: str) -> list[str]:
     """The words of a text without case, punctuation, markup, escapes, entities, width and invisible characters."""
+    return [w for w in (_NOT_WORD.sub("", w) for w in _marked_words(text)) if w]
+
+
+def _marked_words(text: str) -> list[str]:
+    """The words with the punctuation that holds their parts together."""
     if "\\" in text:
         text = _UNICODE_ESCAPE.sub(lambda m: chr(min(int(m.group(1) or m.group(2), 16), 0x10FFFF)), text)
         text = _BREAK_ESCAPE.sub("\n", text)
@@ -76,12 +82,13 @@ def normalise(text: str) -> list[str]:
         text = unicodedata.normalize("NFKC", text).translate(_INVISIBLE)
     if "\n" in text or "\r" in text:
         text = _DIVIDED.sub("", text)
+    text = text.replace("\u00ad", "")
     text = _SENTENCE.sub(" ", text)
     text = _THOUSAND.sub("", text).casefold()
-    return [w for w in (_NOT_WORD.sub("", w) for w in _PARTING.split(text)) if w]
+    return _PARTING.split(text)
 
 
-def aligned(item: list[str], words: list[str], least: int = 12, share: int = 10) -> bool:
+def aligned(item: list[str], words: list[str], least: int = 12, share: int = 10, widest: int = 2) -> bool:
     """Whether ``words`` hold at least ``least`` consecutive words of ``item``, one in ``share`` changed, missing or added."""
     most = len(item) // share
     where: dict[str, list[int]] = defaultdict(list)
@@ -91,8 +98,8 @@ def aligned(item: list[str], words: list[str], least: int = 12, share: int = 10)
     none = len(item) + 1
     for j, w in enumerate(words):
         ends = [(i, 1) for i in where.get(w, ())]
-        if j:  # a word that punctuation held together may come as two
-            ends += [(i, 2) for i in where.get(words[j - 1] + w, ())]
+        for width in range(2, min(widest, j + 1) + 1):  # a word that punctuation held together may come as several
+            ends += [(i, width) for i in where.get("".join(words[j - width + 1 : j + 1]), ())]
         for i, width in ends:
             best = first.get((i - 1, j - width))
             if best is None:
@@ -118,7 +125,12 @@ class Items:
 
     def __init__(self, items: list[tuple], gram: int = GRAM) -> None:
         self.gram = gram
-        self.words = {key: normalise(text or "") for key, text in items}
+        self.words, self.parts, self.widest = {}, {}, 2  # by item its words, and how many parts more they may come in
+        for key, text in items:
+            parts = [len([x for x in _NOT_WORD.split(w) if x]) for w in _marked_words(text or "")]
+            self.words[key] = normalise(text or "")
+            self.parts[key] = sum(max(n - 1, 0) for n in parts)
+            self.widest = max(self.widest, *parts)
         self.number: dict[str, int] = {}
         for words in self.words.values():
             for w in words:
@@ -146,32 +158,50 @@ class Items:
             return {}
         number = self.number
         ids = np.fromiter((number.get(w, -1) for w in words), np.int64, len(words))
+        found: dict[object, list[int]] = defaultdict(list)
+        self._joined_hits(words, ids, found)
         bad = np.concatenate(([0], np.cumsum(ids < 0)))
         at = np.flatnonzero(bad[self.gram :] == bad[: n])
-        if not len(at):
-            return {}
         plain = ids.astype(np.uint64)
         h = self._hash([plain[at + i] for i in range(self.gram)])
         slot = np.minimum(np.searchsorted(self.hashes, h), len(self.hashes) - 1)
-        found: dict[object, list[int]] = defaultdict(list)
         for p in at[self.hashes[slot] == h]:
             for key in self.holding.get(tuple(int(i) for i in ids[p : p + self.gram]), ()):
                 found[key].append(int(p))
-        return found
+        return {key: sorted(set(places)) for key, places in found.items()}
+
+    def _joined_hits(self, words: list[str], ids: np.ndarray, found: dict[object, list[int]]) -> None:
+        """Places of n-grams of which a word is in several parts in the document."""
+        joins: dict[int, list[tuple[int, int]]] = defaultdict(list)
+        heads = words
+        for width in range(2, self.widest + 1):
+            heads = [a + b for a, b in zip(heads, words[width - 1 :])]
+            for p, w in enumerate(map(self.number.get, heads)):
+                if w is not None:
+                    joins[p].append((width, w))
+        starts = {s for p in joins for s in range(max(0, p - (self.gram - 1) * self.widest), p + 1)}
+        for s in starts:
+            paths = [(s, ())]
+            for _ in range(self.gram):
+                paths = [(p + width, (*gram, w)) for p, gram in paths if p < len(words) for width, w in ((1, int(ids[p])), *joins.get(p, ())) if w >= 0]
+            for p, gram in paths:
+                if p > s + self.gram:
+                    for key in self.holding.get(gram, ()):
+                        found[key].append(s)
 
     def leaked(self, words: list[str], least: int) -> list[tuple[object, int, int]]:
         """``(item, from, to)``: items whose passage ``words`` hold, and the word range that was aligned."""
         out = []
         for key, places in self.hits(words).items():
             item = self.words[key]
-            reach = len(item) + len(item) // 10 + 1
+            reach = len(item) + len(item) // 10 + 1 + self.parts[key]
             start = prev = places[0]
             for p in [*places[1:], None]:
                 if p is not None and p - prev <= reach:
                     prev = p
                     continue
                 a, b = max(0, start - reach), min(len(words), prev + self.gram + reach)
-                if aligned(item, words[a:b], least):
+                if aligned(item, words[a:b], least, widest=self.widest):
                     out.append((key, a, b))
                     break
                 if p is not None:

@@ -125,3 +125,27 @@ def test_repeats_do_not_depend_on_cuts():
         one.close_words(one.last, Q.EDGE - 1, Q.EDGE)
         seen.append((one.bins.tolist(), one.short.pack(), one.long.pack()))
     assert all(x == seen[-1] for x in seen)
+
+
+def test_leaks_with_divided_words():
+    words = "alpha bravo charlie delta held-out foxtrot golf hotel india juliet kilo lima".split()
+    changed = [*words[:4], "held", "out", *words[5:9], "zzz", *words[10:]]
+    assert leaks(" ".join(changed), " ".join(words))
+    assert not leaks(" ".join(["zzz", *changed[1:]]), " ".join(words))
+    words[4] = "end-to-end-run"
+    assert leaks("x " + " ".join(changed).replace("held out", "end to end run") + " y", " ".join(words))
+    for mark in ("\u00ad\n", "\u00ad \r\n", "\u00ad\u200b\n", "-\u200b\n", "\u00ad"):
+        assert L.normalise(f"the inges{mark}tion of") == ["the", "ingestion", "of"]
+
+
+def test_every_window_with_a_divided_and_a_changed_word_is_looked_up():
+    rng = random.Random(4)
+    vocabulary = [f"{w}{i}" for i in range(3) for w in _W]
+    for _ in range(60):
+        words = rng.sample(vocabulary, 12)
+        for i in rng.sample(range(12), 3):
+            words[i] = words[i] + "-" + rng.choice(_W)
+        items = L.Items([(1, " ".join(words))])
+        for i in range(1, 11):
+            doc = [*words[:i], "zzz", *words[i + 1 :]]
+            assert items.leaked(L.normalise(" ".join(doc).replace("-", " ")), 12), (words, i)
