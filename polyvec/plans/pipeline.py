@@ -6,6 +6,7 @@ import itertools
 from collections.abc import Callable, Iterator
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from polyvec.operators import metrics
 from polyvec.operators.rank import rerank, top_k
@@ -27,12 +28,15 @@ def parse(text: str) -> list[tuple[str, int | None]]:
 
 
 def run_pipeline(text: str, scorers: dict[str, Scores], depth: int = 100, keep_tail: bool = True) -> DataFrame:
-    """``(query_id, doc_id, score, rank)``; ``scorers`` has a table of scores for each stage by name."""
+    """``(query_id, doc_id, score, rank)`` to ``depth``; ``scorers`` has a table of scores for each stage by name.
+
+    The first stage gives as many documents as the deepest reranker wants, if those are more.
+    """
     (first, _), *rest = parse(text)
-    run = top_k(scorers[first](), depth)
+    run = top_k(scorers[first](), max([depth, *(d for _, d in rest)]))
     for name, d in rest:
         run = rerank(run, scorers[name](), d, keep_tail)
-    return run
+    return run.where(F.col("rank") <= depth)
 
 
 def search_and_evaluate(text: str, scorers: dict[str, Scores], qrels: DataFrame, ks: tuple[int, ...] = metrics.KS) -> tuple[DataFrame, DataFrame]:

@@ -279,6 +279,19 @@ def test_pipeline_and_report(spark):
     assert pipeline.markdown(spark.createDataFrame([(1, 0.5)], "a int, b double")) == "| a | b |\n|---|---|\n| 1 | 0.5000 |"
 
 
+def test_rerankers_get_the_depth_they_name(spark):
+    ids = [f"d{i}" for i in range(9)]
+    scorers = {name: lambda sign=sign: spark.createDataFrame([("q", d, float(sign * i)) for i, d in enumerate(ids)], "query_id string, doc_id string, score double") for name, sign in (("up", 1), ("down", -1))}
+    docs = lambda run: [r["doc_id"] for r in sorted(run.collect(), key=lambda r: r["rank"])]
+    for tail in (True, False):
+        assert docs(pipeline.run_pipeline("down > up@6", scorers, 2, tail)) == ["d5", "d4"]
+    assert docs(pipeline.run_pipeline("down > up@6 > down@3", scorers, 4)) == ["d3", "d4", "d5", "d2"]
+    assert docs(pipeline.run_pipeline("down > up@2", scorers, 4)) == ["d1", "d0", "d2", "d3"] and docs(pipeline.run_pipeline("down", scorers, 2)) == ["d0", "d1"]
+    qrels = spark.createDataFrame([("q", "d5", 1)], "query_id string, doc_id string, rel int")
+    run, found = pipeline.search_and_evaluate("down > up@6", scorers, qrels, (1,))
+    assert docs(run) == ["d5"] and [r["ndcg"] for r in found.collect()] == [1.0]
+
+
 def test_stream_of_segments(spark, tmp_path):
     source = str(tmp_path / "in")
     spark.createDataFrame([(1, "red kale"), (2, "oat")], "id bigint, text string").write.parquet(source)
