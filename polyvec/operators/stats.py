@@ -35,7 +35,7 @@ def bootstrap_means(delta: DataFrame, resamples: int, seed: int = 0) -> DataFram
     draws = placed.select("place").crossJoin(F.broadcast(n)).select("place", "n", F.explode(F.sequence(F.lit(0), F.lit(resamples - 1))).alias("b"))
     x = (F.col("b").cast("bigint") * 1_000_003 + F.col("place") + seed * 7919 + 1) * START % MODULUS
     picked = draws.select("b", ((x * FACTOR % MODULUS) % F.col("n")).alias("pick"))
-    return picked.join(placed.select(F.col("place").alias("pick"), "delta"), "pick").groupBy("b").agg(F.avg("delta").alias("mean"))
+    return picked.join(F.broadcast(placed.select(F.col("place").alias("pick"), "delta")), "pick").groupBy("b").agg(F.avg("delta").alias("mean"))
 
 
 def bootstrap_interval(delta: DataFrame, resamples: int = 1000, seed: int = 0) -> DataFrame:

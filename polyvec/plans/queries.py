@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -21,6 +22,11 @@ ALPHAS = (0.0, 0.05, 0.1, 0.2, 0.3, 0.5, 0.75, 1.0, 1.5, 2.0)
 LEVELS = (0.0, 0.1, 0.2, 0.3, 0.4)
 DEPTH = 100
 CURVE = 20
+# The surveyed settings, of the queries named *_surveyed. They have no SQL.
+RESAMPLES = 10_000
+SURVEYED_LEVELS = (0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9)
+SURVEYED_WIDTH, SURVEYED_KEEP = 256, 8
+BUDGETS = (1, 2, 4, 8)
 BUDGETS_MS = (10.0, 30.0, 100.0, 250.0)
 
 
@@ -275,6 +281,10 @@ def metrics_at_k(spark: SparkSession, d: str) -> DataFrame:
     return _rounded(metrics.curves(_bm25_run(spark, d), S.qrels(spark, d), CURVE), "value")
 
 
+def metrics_at_k_surveyed(spark: SparkSession, d: str) -> DataFrame:
+    return _rounded(metrics.curves(_bm25_run(spark, d), S.qrels(spark, d), DEPTH), "value")
+
+
 def first_relevant(spark: SparkSession, d: str) -> DataFrame:
     return metrics.first_relevant(_bm25_run(spark, d), S.qrels(spark, d))
 
@@ -324,6 +334,10 @@ def paired_bootstrap(spark: SparkSession, d: str) -> DataFrame:
     return _rounded(stats.bootstrap_interval(_delta(spark, d), 200), "low", "high")
 
 
+def paired_bootstrap_surveyed(spark: SparkSession, d: str) -> DataFrame:
+    return _rounded(stats.bootstrap_interval(_delta(spark, d), RESAMPLES), "low", "high")
+
+
 def wilcoxon(spark: SparkSession, d: str) -> DataFrame:
     return _rounded(stats.wilcoxon(_delta(spark, d)), "w_plus", "w_minus", "z").drop("p")
 
@@ -393,15 +407,26 @@ def latency_summary(spark: SparkSession, d: str) -> DataFrame:
 
 def pair_levels(spark: SparkSession, d: str) -> DataFrame:
     """Pairs of vectors near each cosine level, at most 1,000 a level in order of ids."""
+    return _pair_levels(spark, d, LEVELS)
+
+
+def pair_levels_surveyed(spark: SparkSession, d: str) -> DataFrame:
+    return _pair_levels(spark, d, SURVEYED_LEVELS)
+
+
+def _pair_levels(spark: SparkSession, d: str, levels: tuple[float, ...]) -> DataFrame:
     v = _vectors(spark, d)
     pairs = scoring.dense_scores(v, v).where("query_id < doc_id")
-    near = pairs.withColumn("level", F.explode(F.array(*[F.lit(x) for x in LEVELS]))).where(F.abs(F.round(F.col("score") - F.col("level"), 6)) <= 0.025)
+    near = pairs.withColumn("level", F.explode(F.array(*[F.lit(x) for x in levels]))).where(F.abs(F.round(F.col("score") - F.col("level"), 6)) <= 0.025)
     return rank.first_n(near, 1000, ["level"], [F.col("query_id"), F.col("doc_id")]).select("level", F.col("query_id").alias("a"), F.col("doc_id").alias("b"), F.col("score").alias("cosine"))
 
 
 def _mechanism(spark: SparkSession, d: str) -> DataFrame:
-    hits = encode.anchor_weights(S.query_bags(spark, d), WIDTH, KEEP).select(F.col("pos").alias("id"), "anchor", "p")
-    pairs = pair_levels(spark, d)
+    return _pair_scores(spark, d, pair_levels(spark, d), WIDTH, KEEP)
+
+
+def _pair_scores(spark: SparkSession, d: str, pairs: DataFrame, width: int, keep: int, reps: int = 1) -> DataFrame:
+    hits = encode.anchor_weights(S.query_bags(spark, d), width, keep, reps).select(F.col("pos").alias("id"), "anchor", "p")
     left = pairs.join(hits.select(F.col("id").alias("a"), "anchor", F.col("p").alias("pa")), "a")
     both = left.join(hits.select(F.col("id").alias("b"), "anchor", F.col("p").alias("pb")), ["b", "anchor"])
     sums = both.groupBy("level", "a", "b").agg(F.sum(F.col("pa") * F.col("pb")).alias("s"))
@@ -412,6 +437,24 @@ def pair_mechanism(spark: SparkSession, d: str) -> DataFrame:
     return _rounded(stats.dispersion(_mechanism(spark, d), ["level"], "score"), "zero_share", "mean", "cv")
 
 
+def _variants(spark: SparkSession, d: str) -> list[DataFrame]:
+    """Scores of the pairs for each budget, by repetitions and by one matrix as wide as all of them."""
+    pairs = checkpoint(pair_levels_surveyed(spark, d))
+    shapes = [("repetitions", m, SURVEYED_WIDTH, SURVEYED_KEEP, m) for m in BUDGETS] + [("single matrix", m, SURVEYED_WIDTH * m, SURVEYED_KEEP * m, 1) for m in BUDGETS if m > 1]
+    return [_pair_scores(spark, d, pairs, w, k, r).withColumns({"mode": F.lit(mode), "budget": F.lit(m)}) for mode, m, w, k, r in shapes]
+
+
+def pair_mechanism_surveyed(spark: SparkSession, d: str) -> DataFrame:
+    every = reduce(DataFrame.unionByName, _variants(spark, d))
+    return _rounded(stats.dispersion(every, ["mode", "budget", "level"], "score"), "zero_share", "mean", "cv")
+
+
+def rank_correlation_surveyed(spark: SparkSession, d: str) -> DataFrame:
+    """One row a mode and budget."""
+    found = [stats.spearman(v, "cosine", "score").join(F.broadcast(v.select("mode", "budget").limit(1))) for v in _variants(spark, d)]
+    return _rounded(reduce(DataFrame.unionByName, found), "pearson", "spearman").select("mode", "budget", "pearson", "spearman")
+
+
 def rank_correlation(spark: SparkSession, d: str) -> DataFrame:
     return _rounded(stats.spearman(_mechanism(spark, d), "cosine", "score"), "pearson", "spearman")
 
@@ -566,6 +609,7 @@ _ALL = (
     eval_per_query, eval_mean, eval_wide, metrics_at_k, first_relevant, first_relevant_profile, score_separation, ndcg_histogram, dataset_means,
     run_fidelity, paired_delta, paired_summary, paired_bootstrap, wilcoxon, wilcoxon_p, experiment_table, experiment_labels, pareto_frontier, equal_budget_best, seed_spread,
     reps_vs_single, cost_comparison, latency_summary, pair_levels, pair_mechanism, rank_correlation,
+    metrics_at_k_surveyed, paired_bootstrap_surveyed, pair_levels_surveyed, pair_mechanism_surveyed, rank_correlation_surveyed,
     router_features, rerank_stored, router_labels, escalation_curve, router_gain_kept, router_budgets, router_auc, router_ece, router_reliability, router_logistic_oof,
     candidate_union, cache_todo, overlap_rerank, shorten_text, request_key, join_titles, trec_export, cost_model, storage_bytes, judged_queries, corpus_ranges,
 )

@@ -320,3 +320,29 @@ def test_queries_match_sql(spark, name):
     df = e.queries()[name](spark, folder)
     cur = connect(folder).execute(e.oracle_sql()[name])
     assert rows_of(df.columns, df.collect()) == rows_of([d[0] for d in cur.description], cur.fetchall())
+
+
+@pytest.mark.parametrize(("name", "twin", "small", "surveyed"), [("paired_bootstrap_surveyed", "paired_bootstrap", "range(200)", "range(10000)"), ("metrics_at_k_surveyed", "metrics_at_k", "range(1, 21)", "range(1, 101)")])
+def test_surveyed_settings_match_sql_of_their_size(spark, name, twin, small, surveyed):
+    import __spark_entry__ as e
+    from compare import connect, rows_of
+
+    folder = "/root/testdata/sf0.001"
+    sql = e.oracle_sql()[twin]
+    assert small in sql and name not in e.oracle_sql()
+    df = e.queries()[name](spark, folder)
+    cur = connect(folder).execute(sql.replace(small, surveyed))
+    assert rows_of(df.columns, df.collect()) == rows_of([d[0] for d in cur.description], cur.fetchall())
+
+
+def test_surveyed_mechanism(spark):
+    folder = "/root/testdata/sf0.001"
+    pairs = {(r["level"], r["a"], r["b"]): r["cosine"] for r in queries.pair_levels_surveyed(spark, folder).collect()}
+    vectors = {r["pos"]: np.array(r["vec"]) for r in S.query_bags(spark, folder).collect()}
+    ids = sorted(vectors)
+    near = sum(min(1000, sum(abs(round(float(vectors[a] @ vectors[b]) - x, 6)) <= 0.025 for i, a in enumerate(ids) for b in ids[i + 1 :])) for x in queries.SURVEYED_LEVELS)
+    assert len(pairs) == near and all(abs(c - level) <= 0.0250005 for (level, _, _), c in pairs.items())
+    rows = queries.pair_mechanism_surveyed(spark, folder).collect()
+    assert {(r["mode"], r["budget"]) for r in rows} == {("repetitions", 1), *[(m, b) for m in ("repetitions", "single matrix") for b in (2, 4, 8)]}
+    assert all(sum(r["n"] for r in rows if (r["mode"], r["budget"]) == v) == len(pairs) for v in {(r["mode"], r["budget"]) for r in rows})
+    assert queries.rank_correlation_surveyed(spark, folder).count() == 7
