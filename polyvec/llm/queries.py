@@ -93,8 +93,7 @@ def p6_ids(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def p7_found(spark: SparkSession, folder: str) -> DataFrame:
-    found = leaks.find_leaks(_table(spark, folder, "documents"), "doc_id", "text", _table(spark, folder, "eval_items"), "item_id", "item_text")
-    return found.distinct()
+    return leaks.find_leaks(*_leaks(spark, folder)).distinct()
 
 
 def p7_items(spark: SparkSession, folder: str) -> DataFrame:
@@ -102,6 +101,20 @@ def p7_items(spark: SparkSession, folder: str) -> DataFrame:
     return p7_found(spark, folder).groupBy("item_id").agg(F.count(F.lit(1)).alias("documents"))
 
 
+def _leaks(spark: SparkSession, folder: str) -> tuple:
+    return _table(spark, folder, "documents"), "doc_id", "text", _table(spark, folder, "eval_items"), "item_id", "item_text"
+
+
+def p7_spans(spark: SparkSession, folder: str) -> DataFrame:
+    """Where the passages are, in code points of the stored text."""
+    return leaks.leak_spans(*_leaks(spark, folder))
+
+
+def p7_cleaned(spark: SparkSession, folder: str) -> DataFrame:
+    """Every document without its passages."""
+    return leaks.remove_spans(*_leaks(spark, folder))
+
+
 def p8_statistics(spark: SparkSession, folder: str) -> DataFrame:
     return quality.text_statistics(_table(spark, folder, "documents"), "doc_id", "text")
 
@@ -111,7 +124,7 @@ def p8_found(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p1_found, p1_pieces, p2_percentiles, p2_exact, p3_found, p3_top, p4_found, p4_terms, p5_found, p5_neighbours, p6_ids, p7_found, p7_items, p8_found, p8_statistics)}
+    return {f.__name__: f for f in (p1_found, p1_pieces, p2_percentiles, p2_exact, p3_found, p3_top, p4_found, p4_terms, p5_found, p5_neighbours, p6_ids, p7_found, p7_items, p7_spans, p7_cleaned, p8_found, p8_statistics)}
 
 
 _P3 = """

@@ -149,3 +149,57 @@ def test_every_window_with_a_divided_and_a_changed_word_is_looked_up():
         for i in range(1, 11):
             doc = [*words[:i], "zzz", *words[i + 1 :]]
             assert items.leaked(L.normalise(" ".join(doc).replace("-", " ")), 12), (words, i)
+
+
+def test_markup_of_any_length():
+    words = ITEM.split()
+    for tag in ('<img alt="' + "z" * 3000 + '">', "<a href='x>y " + "q " * 900 + "'>", "<!-- " + "c " * 999 + "-->", '<p class="a" id=b data-x="' + "1," * 900 + '" hidden>', "<br/>"):
+        assert leaks(" ".join(words[:7]) + " " + tag + " " + " ".join(words[7:14])), tag[:30]
+    assert leaks("[" + " ".join(words[:7]) + "](https://x.y/" + "z" * 3000 + ' "title") ' + " ".join(words[7:14]))
+    assert leaks("if a <b then " + " ".join(words[:14]) + " or c> d")  # not a tag: too many words without a value
+    assert L.markup("a < b <c d> <1> <!doctype html> </p>") == [(6, 11, " "), (16, 31, " "), (32, 36, " ")]
+    assert L.normalise('x <a title="1 > 0" b>y</a> <em>z</em>w') == ["x", "y", "zw"]
+
+
+def test_passages_inside_markup_are_found():
+    for text in ('<img src=x alt="' + ITEM + '">', "<!-- " + ITEM + " -->", "![" + "x" + "](http://y.z \"" + ITEM + "\")"):
+        assert any(L.Items([(1, ITEM)]).leaked(w, 12) for w in L.normalised("before " + text + " after")), text[:20]
+
+
+@pytest.mark.parametrize("part", ["<!--", "<a ", '<a x="', '="<a"', "](", '](x "', "####", "</b ", "&amp", "[](((", "<a b c ", "á̖", "́", "-\n> ", "\\u00", "%41", "<a b=c "])
+def test_normalising_is_linear(part):
+    import time
+
+    took = []
+    for n in (10_000, 40_000):
+        t = time.process_time()
+        L.normalised("a-\n" + part * n + "!")
+        took.append(time.process_time() - t)
+    assert took[1] < 8 * took[0] + 0.5
+
+
+def test_spans_and_removal(spark):
+    copy = "<b>" + ITEM.upper().replace(" ", "&nbsp;", 3).replace("VEMASOL", "ve​masol").replace("DECLINE", "DÉ-\nCLINE") + "</b>"
+    text = "Nothing of it here. " + copy + " And a tail of its own…"
+    found = L.text_spans(L.Items([(1, ITEM)]), text, 12)
+    assert len(found) == 1 and text[found[0][1] : found[0][2]].startswith("SERUM") and text[found[0][1] : found[0][2]].endswith("SOUND")
+    docs = spark.createDataFrame([(1, text), (2, None), (3, ""), (4, "nothing of the kind"), (1, text), (5, ITEM + " and again " + ITEM)], "doc_id bigint, text string")
+    items = spark.createDataFrame([(7, ITEM), (8, "other words " * 10), (None, None)], "item_id bigint, text string")
+    args = (docs, "doc_id", "text", items, "item_id", "text")
+    for block in (10**6, 40):
+        rows = L.leak_spans(*args, block_bytes=block).collect()
+        assert sorted((r["doc_id"], r["item_id"]) for r in rows) == [(1, 7), (1, 7), (5, 7), (5, 7)]
+        clean = {r["doc_id"]: (r["text"], r["removed"]) for r in L.remove_spans(*args, block_bytes=block).collect()}
+        assert clean[2] == (None, 0) and clean[3] == ("", 0) and clean[4] == ("nothing of the kind", 0)
+        assert clean[1][0] == "Nothing of it here. <b>.</b> And a tail of its own…" and clean[1][1] == len(text) - len(clean[1][0])
+        assert clean[5][0] == ". and again ."
+    assert L.leak_spans(docs.limit(0), *args[1:]).count() == 0 and L.remove_spans(*args[:3], items.limit(0), *args[4:]).count() == 6
+
+
+def test_hot_ngrams_align_few_items():
+    """Thousands of items with the same beginning: only those that share more than it are aligned."""
+    rng = random.Random(6)
+    stem = "which of the following statements"
+    items = L.Items([(i, stem + " " + " ".join(rng.choice(_W) + str(rng.randrange(10**6)) for _ in range(12))) for i in range(3000)])
+    words = (stem + " was ever shown to be of any use to a reader of it ").split() * 50
+    assert not list(items.regions(words, 12)) and items.leaked(words + items.words(17), 12)[0][0] == 17
