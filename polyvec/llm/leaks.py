@@ -349,7 +349,7 @@ class Items:
         at = np.flatnonzero(held[: max(n, 0)] == held[gram - 1 :]) if n > 0 else np.empty(0, int)
         plain = self.ids.astype(np.uint64)
         both = np.stack([self._hash([plain[at + i] for i in range(gram)]), held[at].astype(np.uint64)], 1)
-        both = np.unique(both, axis=0) if len(both) else both.reshape(0, 2)
+        both, self.times = np.unique(both.reshape(-1, 2), axis=0, return_counts=True)
         self.hashes, first = np.unique(both[:, 0], return_index=True)
         self.firsts = np.append(first, len(both))
         self.holders = both[:, 1].astype(np.int32)
@@ -387,9 +387,9 @@ class Items:
         kept = (n - n // self.share - (n // self.share + 1) * (self.gram - 1) for n in range(least, least + 5 * self.share))
         return max(1, min(kept))
 
-    def hits(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """Items and the places of n-grams that they have, in order."""
-        none = np.empty(0, np.int64), np.empty(0, np.int64)
+    def hits(self, words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Items, the places of n-grams that they have, in order, and which n-grams."""
+        none = (np.empty(0, np.int64),) * 3
         if not words or not len(self.hashes):
             return none
         n, gram = len(words), self.gram
@@ -410,8 +410,8 @@ class Items:
         slot, places = slot[hit], places[hit]
         counts = self.firsts[slot + 1] - self.firsts[slot]
         index = np.repeat(self.firsts[slot] - np.cumsum(counts) + counts, counts) + np.arange(counts.sum())
-        both = np.unique(np.stack([self.holders[index].astype(np.int64), np.repeat(places, counts)], 1), axis=0)
-        return both[:, 0], both[:, 1]
+        rows = np.unique(np.stack([self.holders[index].astype(np.int64), np.repeat(places, counts), index], 1), axis=0)
+        return rows[:, 0], rows[:, 1], rows[:, 2]
 
     def _joined(self, words: list[str], codes: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """N-grams, and their places, of which the document has a word in several parts."""
@@ -453,14 +453,14 @@ class Items:
             words += text
             words += ("",) * self.gram  # no n-gram crosses it
             ends.append(len(words))
-        items, places = self.hits(words)
+        items, places, _ = self.hits(words)
         texts_of = np.searchsorted(ends, places, side="right")
         found, counts = np.unique(np.stack([texts_of, items], 1), axis=0, return_counts=True) if len(items) else (np.empty((0, 2), int), np.empty(0, int))
         return np.unique(found[counts >= self.fewest(least), 0]).tolist()
 
     def regions(self, words: list[str], least: int) -> Iterator[tuple[int, int, int]]:
         """``(item, from, to)``: where enough n-grams of an item lie together for a passage."""
-        items, places = self.hits(words)
+        items, places, grams = self.hits(words)
         if not len(items):
             return
         fewest = self.fewest(least)
@@ -468,7 +468,7 @@ class Items:
         reach = sizes + sizes // self.share + 1 + self.parts[items]
         begins = np.flatnonzero(np.concatenate(([True], (items[1:] != items[:-1]) | (places[1:] - places[:-1] > reach[1:]))))
         for a, b in zip(begins, np.append(begins[1:], len(items))):
-            if b - a >= fewest:
+            if b - a >= fewest and self.times[np.unique(grams[a:b])].sum() >= fewest:
                 yield int(items[a]), max(0, int(places[a] - reach[a])), min(len(words), int(places[b - 1] + self.gram * self.widest + reach[a]))
 
     def leaked(self, words: list[str], least: int) -> list[tuple[object, int, int]]:
