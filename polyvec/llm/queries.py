@@ -119,12 +119,18 @@ def p8_statistics(spark: SparkSession, folder: str) -> DataFrame:
     return quality.text_statistics(_table(spark, folder, "documents"), "doc_id", "text")
 
 
+def p8_ratios(spark: SparkSession, folder: str) -> DataFrame:
+    """The statistics without the kind."""
+    found = p8_statistics(spark, folder)
+    return found.select("doc_id", "words", *[(F.round(c, 6) + F.lit(0.0)).alias(c) for c in quality.STATISTICS[1:5]])
+
+
 def p8_found(spark: SparkSession, folder: str) -> DataFrame:
     return p8_statistics(spark, folder).where("kind is not null").select("doc_id", "kind")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p1_found, p1_pieces, p2_percentiles, p2_exact, p3_found, p3_top, p4_found, p4_terms, p5_found, p5_neighbours, p6_ids, p7_found, p7_items, p7_spans, p7_cleaned, p8_found, p8_statistics)}
+    return {f.__name__: f for f in (p1_found, p1_pieces, p2_percentiles, p2_exact, p3_found, p3_top, p4_found, p4_terms, p5_found, p5_neighbours, p6_ids, p7_found, p7_items, p7_spans, p7_cleaned, p8_found, p8_statistics, p8_ratios)}
 
 
 _P3 = """
@@ -163,6 +169,27 @@ marked as (
 """
 
 
+# White space, and Chinese and Japanese characters; a word is one of the latter or a run of other letters and digits.
+_SPACE = r"\t-\r\x{1C}-\x{20}\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}"
+_IDEO = r"\x{3040}-\x{30FF}\x{3400}-\x{4DBF}\x{4E00}-\x{9FFF}\x{AC00}-\x{D7AF}"
+_P8 = rf"""
+with parts as (
+  select doc_id,
+    regexp_extract_all(regexp_replace(lower(text), '([{_IDEO}])', ' \1 ', 'g'), '[\p{{L}}\p{{N}}]+|[{_IDEO}]') as w,
+    length(regexp_replace(text, '[\p{{L}}\p{{N}}{_SPACE}]', '', 'g')) as symbols,
+    length(regexp_replace(text, '[{_SPACE}]', '', 'g')) as solid,
+    list_filter(regexp_split_to_array(text, '\r\n|[\n-\r\x{{85}}\x{{2028}}\x{{2029}}]'), lambda l: length(regexp_replace(l, '[{_SPACE}]', '', 'g')) > 0) as lines
+  from documents),
+counts as (
+  select doc_id, coalesce(len(w), 0) as words, list_sum(list_transform(w, lambda x: length(x))) as chars, symbols, solid, len(lines) as n_lines,
+    len(list_filter(lines, lambda l: regexp_matches(regexp_replace(l, '[{_SPACE}]+$', ''), '{{ENDS}}'))) as ended, len(list_filter(w, lambda x: x in ({{COMMON}}))) as common
+  from parts)
+select doc_id, cast(words as bigint) as words, round(chars / nullif(words, 0), 6) as mean_word_length, round(symbols / nullif(solid, 0), 6) as symbol_ratio,
+  round(ended / nullif(n_lines, 0), 6) as punct_line_share, round(common / nullif(words, 0), 6) as common_share
+from counts
+"""
+
+
 def _p2_case(select: str, group: str) -> str:
     return " union all ".join(
         f"select {select}, cast({q} as double) as q, n, list_extract(v, cast(greatest(ceil(n * {q}::double - 1e-9), 1) as bigint)) as x from ({group})" for q in QUANTILES
@@ -184,7 +211,9 @@ def oracle_sql() -> dict[str, str]:
     tiny = f"pow(2::double, -1023) * pow(2::double, {1 - MANTISSA})"
     low = f"case when x = 0 then 0 when x > 0 then {down} when {exact} then x else -({up}) end"
     high = f"case when x = 0 then {tiny} when x > 0 then {up} when {exact} and {cut} = {step} then -{2 * step - 1} * ({scale}) / {2 * step} when {exact} then -({cut} - 1) * ({scale}) / {step} else -({down}) end"
+    ends = quality._LINE_END.pattern.replace("'", "''")
     return {
+        "p8_ratios": _P8.replace("{ENDS}", ends).replace("{COMMON}", ", ".join(f"'{w}'" for w in sorted(quality.COMMON))),
         "p1_found": f"""
             select doc_id, case when max(list_aggregate(list_transform(regexp_split_to_array(doc_texts, '{boundaries}'), lambda p: length(p)), 'max')) > 2000
               then 'forced' else 'natural' end as cut

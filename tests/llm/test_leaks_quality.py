@@ -203,3 +203,46 @@ def test_hot_ngrams_align_few_items():
     items = L.Items([(i, stem + " " + " ".join(rng.choice(_W) + str(rng.randrange(10**6)) for _ in range(12))) for i in range(3000)])
     words = (stem + " was ever shown to be of any use to a reader of it ").split() * 50
     assert not list(items.regions(words, 12)) and items.leaked(words + items.words(17), 12)[0][0] == 17
+
+
+def merged(parts):
+    parts = [Q.Summary.unpack(p.pack()) for p in parts]
+    while len(parts) > 1:
+        parts = [Q.merge(*parts[i : i + 2]) if len(parts[i : i + 2]) == 2 else parts[i] for i in range(0, len(parts), 2)]
+    return Q.derive(parts[0])
+
+
+EDGES = [
+    IDEOGRAPHS * 20, "foo.bar,baz(qux)/" * 40, "a\t\tb  c\r\n \r\n\n  x\ty   z\r" * 15, "a&amp;b &nbsp; &lt;p&gt;, it&#39;s&copy " * 12, "QWxhZGRpbjpvcGVuIHNlc2FtZQ1" * 30 + " and so on", "x" * 900 + "\n" + "1,234.50 " * 30,
+    " " * 600 + "- an entry" + " " * 700 + "of a list." + " " * 300, "\t- a\n" * 9 + "wait...\"')\n" + "." * 300 + ")" * 300, "d06a78c70a4f8ce65ee184a66062a017ebc23c9d65ced303ff1c53d0f7f10272" * 3, "İstanbul ΣΑΣ naïve 　 é" * 20, "", " ", "\n", "word",
+]
+
+
+@pytest.mark.parametrize("text", [*EDGES, *(t for group in CASES.values() for t in group)])
+def test_any_cuts_give_the_whole(text):
+    want = Q.derive(Q.summarise(text))
+    assert Q.statistics([text, None, text]) == [want, Q.derive(Q.summarise("")), want]
+    rng = random.Random(len(text))
+    text = text[:4000]
+    want = Q.derive(Q.summarise(text))
+    for size in (1, 3, 7, 50, 333):
+        if len(text) < 150 * size:
+            assert merged([Q.summarise(c) for c in Q.chunks(text, size)]) == want, size
+    for _ in range(6):
+        cuts = sorted(rng.randrange(len(text) + 1) for _ in range(rng.randint(1, 12)))
+        assert merged([Q.summarise(text[a:b]) for a, b in zip([0, *cuts], [*cuts, len(text)])]) == want, cuts
+
+
+def test_words_across_cuts_are_counted_once():
+    assert merged([Q.summarise(c) for c in Q.chunks("中" * 3000, 450)])[0] == 3000
+    assert merged([Q.summarise(c) for c in Q.chunks("foo.bar,baz(qux)/" * 200, 500)])[0] == 800
+
+
+def test_letter_noise_of_any_alphabetical_spread():
+    rng = random.Random(8)
+    noise = lambda letters, n: " ".join("".join(rng.choice(letters) for _ in range(rng.randint(4, 9))) for _ in range(n))
+    for n in (12, 80, 400):
+        assert Q.statistics([noise("abcdefghijklmnopqrstuvwxyz", n)])[0][5] == "junk"
+        assert Q.statistics(["\n".join(noise("abcdefghijklmnopqrstuvwxyz", 3) for _ in range(n))])[0][5] == "junk"
+    for prose in ("Die Angstschweißperlen standen ihm auf der Stirn, als er durch die Herbstschlacht ritt und nichts sprach.", "Le quart des élèves suivra les cours pendant les jours froids, puis reviendra chez ses parents.", "El jueves próximo hablaremos de los exámenes y de los objetos perdidos en aquel viaje."):
+        assert Q.statistics([prose])[0][5] is None
