@@ -127,3 +127,71 @@ def test_encode_texts(spark, encoder):
     df = spark.createDataFrame([(1, "Hello world", 0), (2, None, 0), (3, "", 0), (1, "Hello world", 0)], "doc_id bigint, text string, ids int")
     rows = B.encode_texts(df, "doc_id", "text", ranks_path()).collect()
     assert sorted((r["doc_id"], r["ids"]) for r in rows) == sorted([(1, encoder.encode("Hello world"))] * 2 + [(2, []), (3, [])])
+
+
+def nearest(ids, x, of, k, least=None):
+    """Exact neighbours of the rows ``of``, by id."""
+    out = {}
+    for at in range(0, len(of), 1000):
+        s = x[of[at : at + 1000]] @ x.T
+        s[np.arange(len(s)), of[at : at + 1000]] = -2
+        top = np.argpartition(-s, k, axis=1)[:, :k]
+        for i, row in enumerate(top):
+            out[int(ids[of[at + i]])] = {int(ids[j]) for j in row if least is None or s[i, j] >= least}
+    return out
+
+
+@pytest.mark.parametrize("options", [{"leaf": 20, "sample": 6000}, {"leaf": 20, "sample": 512}, {"leaf": 100, "sample": 1024, "block": 60}], ids=["300 partitions", "two levels", "blocks"])
+def test_recall_in_many_partitions(spark, options):
+    """Clustered vectors of 64 dimensions: several hundred partitions, in one level and in two, and partitions cut into blocks."""
+    rng = np.random.default_rng(11)
+    centres = rng.normal(size=(300, 64))
+    x = np.concatenate([c + rng.uniform(0.02, 0.5) * rng.normal(size=(20, 64)) for c in centres])
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    ids = rng.permutation(10**6)[: len(x)]
+    df = spark.createDataFrame([(int(i), v.tolist()) for i, v in zip(ids, x)], "id bigint, vec array<double>").repartition(6)
+    want = {(min(a, b), max(a, b)) for a, near in nearest(ids, x, np.arange(len(x)), 5, 0.92).items() for b in near}
+    got = {(r["a"], r["b"]) for r in V.similar_pairs(df, "id", "vec", 5, 0.92, **options).collect()}
+    assert len(want) > 5000 and len(got & want) >= 0.99 * len(want) and len(got - want) <= 0.001 * len(want)
+    of = np.flatnonzero(ids % 20 == 0)
+    near = defaultdict(set)
+    for r in V.most_similar(df, "id", "vec", 5, query=F.col("id") % 20 == 0, **options).collect():
+        near[r["id"]].add(r["neighbour"])
+    exact = nearest(ids, x, of, 5)
+    assert near.keys() == exact.keys() and sum(len(near[i] & exact[i]) for i in exact) >= 0.9 * 5 * len(exact)
+
+
+def test_recall_on_the_whole_table(spark):
+    """The queries over sf0.1, with their own settings, against brute force."""
+    from polyvec.llm import queries as Q
+
+    folder = "/root/testdata/sf0.1"
+    rows = {r["id"]: np.frombuffer(r["vec"], "<f4") for r in V.unit_vectors(spark.read.parquet(f"{folder}/token_embeddings.parquet"), "token_id", "colbert_flat", 64).collect()}
+    ids, x = np.array(list(rows)), np.array(list(rows.values()))
+    exact = nearest(ids, x, np.flatnonzero(ids % 20 == 0), 5)
+    near = defaultdict(set)
+    for r in Q.p5_neighbours(spark, folder).collect():
+        near[r["token_id"]].add(r["neighbour"])
+    # Copies tie; a neighbour as near as the exact ones counts.
+    at = {int(i): n for n, i in enumerate(ids)}
+    hit = sum(sum(x[at[i]] @ x[at[j]] >= min(x[at[i]] @ x[at[m]] for m in exact[i]) - 1e-6 for j in near[i]) for i in exact)
+    assert near.keys() == exact.keys() and hit >= 0.9 * 5 * len(exact)
+    want = {(min(a, b), max(a, b)) for a, n in nearest(ids, x, np.arange(len(x)), 5, 0.92).items() for b in n}
+    got = {(r["token_a"], r["token_b"]) for r in Q.p5_found(spark, folder).collect()}
+    close = lambda p: x[at[p[0]]] @ x[at[p[1]]] < 1 - 1e-6
+    assert len({p for p in want if close(p)} & got) >= 0.99 * len({p for p in want if close(p)})
+
+
+def test_hot_directions_and_changed_ids(spark):
+    """A direction of a third of the rows, ids with two vectors, extra columns with the names used inside."""
+    rng = np.random.default_rng(12)
+    hot = rng.normal(size=8)
+    data = [(i, hot.tolist()) for i in range(1000)] + [(1000 + i, rng.normal(size=8).tolist()) for i in range(2000)] + [(1000, rng.normal(size=8).tolist())] * 2
+    df = spark.createDataFrame(data, "id int, vec array<float>").withColumns({"cid": F.lit(1), "h1": F.lit("x"), "n": F.lit(None), "asks": F.lit(True)})
+    near = V.most_similar(df, "id", "vec", 3, dim=8).collect()
+    by = defaultdict(list)
+    for r in near:
+        by[r["id"]].append((r["rank"], r["neighbour"]))
+    assert len(by) == 3000 and all(len(v) == 3 for v in by.values())
+    assert sorted(by[0]) == [(1, 1), (2, 2), (3, 3)] and sorted(by[999]) == [(1, 0), (2, 1), (3, 2)]
+    assert df.schema["id"].dataType == V.most_similar(df, "id", "vec", 3, dim=8).schema["neighbour"].dataType
