@@ -420,6 +420,7 @@ def most_similar(
     if mutual:  # from both ends, or from two cells
         found = found.groupBy("cid", "near").agg(F.max("cosine").alias("cosine"))
     best = found.withColumn("place", F.row_number().over(Window.partitionBy("cid").orderBy(F.col("cosine").desc(), "near"))).where(F.col("place") <= k)
+    best = checkpoint(best.select("cid", "near", "cosine"))  # several branches read it; the search is made once
 
     # Classes of several members. At most 1,000 hold more than a thousandth of all ids: those are broadcast.
     several = classes.where("n > 1").select("cid", "h1", "h2", "n")
