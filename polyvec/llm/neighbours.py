@@ -343,7 +343,9 @@ def most_similar(
     asks = F.lit(True) if query is None else F.coalesce(F.max(query), F.lit(False))
     sets = ids.groupBy("h1", "h2").agg(F.min("id").alias("cid"), F.count(F.lit(1)).alias("n"), asks.alias("asks"))
     # The vector of a class is that of its least id.
-    classes = checkpoint(rows.select(F.col("id").alias("cid"), "h1", "vec").join(sets, ["cid", "h1"]).dropDuplicates(["cid"]).select("cid", "vec", "asks", "n", "h1", "h2"))
+    own = (F.col("h1") <= F.col("g1")) & (F.col("h1") >= F.col("g1"))  # not an equality, so that the join is partitioned by cid alone, as dropping repeats is
+    heads = rows.select(F.col("id").alias("cid"), F.col("h1").alias("g1"), "vec").join(sets, "cid").where(own)
+    classes = checkpoint(heads.dropDuplicates(["cid"]).select("cid", "vec", "asks", "n", "h1", "h2"))
     total, queries, members, heaviest = classes.agg(F.count(F.lit(1)), F.count_if("asks"), F.coalesce(F.sum("n"), F.lit(0)), F.max("n")).first()
     forest = fit_forest(classes, total, dim, leaf, sample, router_bytes, seed)
     model = df.sparkSession.sparkContext.broadcast(forest)
