@@ -5,7 +5,7 @@ from __future__ import annotations
 import os
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from polyvec.llm import leaks, neighbours, percentiles, quality, split, terms, tokenizer, topn
@@ -30,8 +30,27 @@ def p1_found(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def p1_pieces(spark: SparkSession, folder: str) -> DataFrame:
+    """The pieces of every different long text of a document."""
+    return _pieces(spark, folder).drop("text_key")
+
+
+def _pieces(spark: SparkSession, folder: str) -> DataFrame:
     docs = _table(spark, folder, "docs").select("doc_id", "doc_texts").where(F.char_length("doc_texts") > 2000)
-    return split.split_long(docs.dropDuplicates(["doc_id", "doc_texts"]), "doc_id", "doc_texts", 2000, 200)
+    docs = docs.withColumn("text_key", F.sha2("doc_texts", 256)).dropDuplicates(["doc_id", "text_key"])  # texts aren't the key
+    named = docs.select(F.struct("doc_id", "text_key").alias("of"), "doc_texts")
+    return split.split_long(named, "of", "doc_texts", 2000, 200).select("of.*", "piece", "start", "end", "cut", "text")
+
+
+def p1_coverage(spark: SparkSession, folder: str) -> DataFrame:
+    """What the pieces of each long text add up to: characters covered from 0 without a gap, pieces over the limit, pieces whose
+    text isn't that of their place, whether there are enough pieces and whether any cut was forced."""
+    last = F.lag("end").over(Window.partitionBy("doc_id", "text_key").orderBy("piece"))
+    rows = _pieces(spark, folder).withColumn("gap", F.col("start") > F.coalesce(last, F.lit(0)))
+    per = rows.groupBy("doc_id", "text_key").agg(
+        F.max("end").alias("characters"), F.count_if("gap").alias("gaps"), F.count_if(F.char_length("text") > 2000).alias("over_limit"), F.count_if(F.char_length("text") != F.col("end") - F.col("start")).alias("unlike"),
+        F.count(F.lit(1)).alias("pieces"), F.max(F.col("cut") == split.FORCED).alias("forced"),
+    )
+    return per.select("doc_id", "characters", "gaps", "over_limit", "unlike", (F.col("pieces") >= F.ceil((F.col("characters") - 200) / 1800)).alias("enough"), "forced")
 
 
 def _selected(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
@@ -130,7 +149,7 @@ def p8_found(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p1_found, p1_pieces, p2_percentiles, p2_exact, p3_found, p3_top, p4_found, p4_terms, p5_found, p5_neighbours, p6_ids, p7_found, p7_items, p7_spans, p7_cleaned, p8_found, p8_statistics, p8_ratios)}
+    return {f.__name__: f for f in (p1_found, p1_pieces, p1_coverage, p2_percentiles, p2_exact, p3_found, p3_top, p4_found, p4_terms, p5_found, p5_neighbours, p6_ids, p7_found, p7_items, p7_spans, p7_cleaned, p8_found, p8_statistics, p8_ratios)}
 
 
 _P3 = """
@@ -218,6 +237,10 @@ def oracle_sql() -> dict[str, str]:
             select doc_id, case when max(list_aggregate(list_transform(regexp_split_to_array(doc_texts, '{boundaries}'), lambda p: length(p)), 'max')) > 2000
               then 'forced' else 'natural' end as cut
             from docs where length(doc_texts) > 2000 group by doc_id""",
+        "p1_coverage": f"""
+            select doc_id, length(doc_texts) as characters, 0 as gaps, 0 as over_limit, 0 as unlike, true as enough,
+              list_aggregate(list_transform(regexp_split_to_array(doc_texts, '{boundaries}'), lambda p: length(p)), 'max') > 2000 as forced
+            from (select distinct doc_id, doc_texts from docs where length(doc_texts) > 2000)""",
         "p2_percentiles": f"""
             with picked as (
               {_p2_case("method, run_day, false as whole", by_day)}

@@ -2,8 +2,13 @@
 
 Balanced targets: the least number of pieces that can hold the text, equal-length targets, each
 target moved to the strongest boundary near it, one more round with more pieces whenever a limit
-fails. What no balanced plan can hold (a run without any boundary that is longer than a piece) goes
-through an exact left-to-right pass that cuts inside a run only where it has to.
+fails. Runs without any boundary that are longer than a piece divide the text: each of them is cut
+inside at equal targets, each stretch between them is balanced by itself. A stretch of such uneven
+boundaries that no balanced plan holds goes through a left-to-right pass, which is exact.
+
+The overlap is kept at about its size: the next piece begins at the boundary nearest the wanted place
+or, where there is none within half an overlap, inside the word. It shrinks only as far as the next
+natural cut would else be out of reach.
 
 Only texts over the limit leave the JVM. One text is split in one task; time and memory are linear
 in its length.
@@ -53,61 +58,103 @@ def boundary_strength(codes: np.ndarray) -> np.ndarray:
     return out
 
 
-def _balanced(n: int, at: np.ndarray, strength: np.ndarray, count: int, limit: int, overlap: int):
-    step = (n - overlap) / count
-    reach = max(1, int(min(step / 3, limit / 6)))
-    pieces, start, end = [], 0, 0
-    for i in range(1, count):
-        target = int(overlap + i * step)
-        lo, hi = max(end + 1, target - reach), min(start + limit, target + reach)
-        a, b = np.searchsorted(at, (lo, hi + 1))
-        if a < b:
-            near = at[a:b]
-            cut = int(near[np.lexsort((np.abs(near - target), -strength[near]))[0]])
-        else:
-            a, b = np.searchsorted(at, (end + 1, min(start + limit, n - 1) + 1))
-            if a >= b:
-                return None
-            cut = int(at[a:b][np.argmin(np.abs(at[a:b] - target))])
-        pieces.append((start, cut, NATURAL))
-        start, end = _restart(at, strength, start, cut, overlap), cut
-    if n - start > limit:
-        return None
-    pieces.append((start, n, NATURAL))
-    return pieces
-
-
-def _restart(at: np.ndarray, strength: np.ndarray, start: int, cut: int, overlap: int) -> int:
-    """Where the piece after ``cut`` begins: the strongest boundary within half an overlap of the wanted place."""
-    if not overlap:
-        return cut
-    want = cut - overlap
-    for lo, hi in ((want - overlap // 2, want + overlap // 2), (want - overlap, cut)):
-        a, b = np.searchsorted(at, (max(lo, start + 1), hi + 1))
-        if a < b:
-            near = at[a:b]
-            return int(near[np.lexsort((np.abs(near - want), strength[near] <= 1))[0]])
-    return max(want, start + 1)
-
-
-def _in_order(n: int, at: np.ndarray, strength: np.ndarray, limit: int, overlap: int):
-    """Farthest boundary each time; the overlap shrinks before a cut is forced."""
-    pieces, start, end = [], 0, 0
-    while n - start > limit:
-        a, b = np.searchsorted(at, (end + 1, start + limit + 1))
-        if a >= b and start < end:
-            start = end
-            if n - start <= limit:
-                break
-            a, b = np.searchsorted(at, (end + 1, start + limit + 1))
-        if a < b:
-            cut, kind = int(at[b - 1]), NATURAL
-        else:
-            cut, kind = start + limit, FORCED
-        pieces.append((start, cut, kind))
-        start, end = _restart(at, strength, start, cut, overlap), cut
-    pieces.append((start, n, NATURAL))
-    return pieces
+class _Plan:
+    """One text under division: its boundaries and the limits."""
+
+    def __init__(self, n: int, strength: np.ndarray, limit: int, overlap: int) -> None:
+        self.n, self.strength, self.limit, self.overlap = n, strength, limit, overlap
+        self.at = np.flatnonzero(strength)
+        self.edges = np.concatenate(([0], self.at, [n]))
+        # The next natural cut behind each, not one beside it in the same white space.
+        apart = np.append(np.diff(self.edges) > 1, True)
+        last = np.flatnonzero(apart)
+        self.ahead = self.edges[np.minimum(last[np.searchsorted(last, np.arange(len(self.edges)))] + 1, len(self.edges) - 1)]
+
+    def restart(self, start: int, cut: int) -> int:
+        """Where the piece after ``cut`` begins."""
+        overlap, limit = self.overlap, self.limit
+        if not overlap:
+            return cut
+        ahead = int(self.ahead[np.searchsorted(self.edges, cut)])
+        lowest = ahead - limit if ahead - cut <= limit else cut - limit + 1
+        want = max(cut - overlap, lowest, start + 1)
+        a, b = np.searchsorted(self.at, (max(want - overlap // 2, lowest, start + 1), min(want, cut - overlap) + overlap // 2 + 1))
+        near = self.at[a:b]
+        if len(near):
+            return int(near[np.lexsort((np.abs(near - want), self.strength[near] <= 1))[0]])
+        return min(want, cut)
+
+    def balanced(self, first: int, last: int, count: int) -> list[tuple[int, int, str]] | None:
+        """``count`` pieces from ``first`` to ``last``, or none if a limit fails."""
+        step = (last - first - self.overlap) / count
+        reach = max(1, int(min(step / 3, self.limit / 6)))
+        pieces, start, end = [], first, first
+        for i in range(1, count):
+            target = int(first + self.overlap + i * step)
+            lo, hi = max(end + 1, target - reach), min(start + self.limit, target + reach, last - 1)
+            a, b = np.searchsorted(self.at, (lo, hi + 1))
+            if a < b:
+                near = self.at[a:b]
+                cut = int(near[np.lexsort((np.abs(near - target), -self.strength[near]))[0]])
+            else:
+                a, b = np.searchsorted(self.at, (end + 1, min(start + self.limit, last - 1) + 1))
+                if a >= b:
+                    return None
+                cut = int(self.at[a:b][np.argmin(np.abs(self.at[a:b] - target))])
+            pieces.append((start, cut, NATURAL))
+            start, end = self.restart(start, cut), cut
+        return [*pieces, (start, last, NATURAL)] if last - start <= self.limit else None
+
+    def in_order(self, first: int, last: int) -> list[tuple[int, int, str]]:
+        """Farthest boundary each time; there always is one, since ``restart`` keeps the next one in reach."""
+        pieces, start, end = [], first, first
+        while last - start > self.limit:
+            a, b = np.searchsorted(self.at, (end + 1, min(start + self.limit, last - 1) + 1))
+            cut = int(self.at[b - 1])
+            pieces.append((start, cut, NATURAL))
+            start, end = self.restart(start, cut), cut
+        return [*pieces, (start, last, NATURAL)]
+
+    def stretch(self, first: int, last: int) -> list[tuple[int, int, str]]:
+        """Text with natural cuts enough."""
+        fewest = max(1, -(-(last - first - self.overlap) // (self.limit - self.overlap)))
+        count = fewest
+        while count <= 2 * fewest + 8:
+            if plan := self.balanced(first, last, count):
+                return plan
+            count += max(1, count // 8)
+        return self.in_order(first, last)
+
+    def run(self, first: int, last: int) -> list[tuple[int, int, str]]:
+        """Text without a natural cut before ``last``: equal pieces."""
+        count = -(-(last - first - self.overlap) // (self.limit - self.overlap))
+        step = (last - first - self.overlap) / count
+        cuts = [int(first + self.overlap + i * step) for i in range(1, count)]
+        starts = [first, *(c - self.overlap for c in cuts)]
+        return list(zip(starts, [*cuts, last], [*[FORCED] * len(cuts), NATURAL]))
+
+    def pieces(self) -> list[tuple[int, int, str]]:
+        out: list[tuple[int, int, str]] = []
+        lengths = np.diff(self.edges)
+        bounds, at = [], 0
+        for i in np.flatnonzero(lengths > self.limit):
+            a, b = int(self.edges[i]), int(self.edges[i + 1])
+            if at < a - (2 * self.overlap if 3 * self.overlap <= self.limit else 0):
+                bounds.append((at, a, False))
+                at = a
+            bounds.append((at, b, True))  # with a stretch before it that is little longer than an overlap
+            at = b
+        if at < self.n:
+            bounds.append((at, self.n, False))
+        for a, b, forced in bounds:
+            first = self.restart(*out[-1][:2]) if out else a
+            if forced:
+                out += self.run(first, b)
+            elif out and b - out[-1][0] <= self.limit:
+                out[-1] = (out[-1][0], b, out[-1][2])  # the last piece of the run holds it too
+            else:
+                out += self.stretch(first, b)
+        return out
 
 
 def split_text(text: str, limit: int = 2000, overlap: int = 200) -> list[tuple[int, int, str]]:
@@ -123,15 +170,7 @@ def split_text(text: str, limit: int = 2000, overlap: int = 200) -> list[tuple[i
         return [(0, n, NATURAL)]
     codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "<u4")
     strength = boundary_strength(codes)
-    at = np.flatnonzero(strength)
-    edges = np.concatenate(([0], at, [n]))
-    if np.diff(edges).max() <= limit:
-        count = -(-(n - overlap) // (limit - overlap))
-        for _ in range(6):
-            if plan := _balanced(n, at, strength, count, limit, overlap):
-                return plan
-            count += max(1, count // 8)
-    return _in_order(n, at, strength, limit, overlap)
+    return _Plan(n, strength, limit, overlap).pieces()
 
 
 def split_long(df: DataFrame, key: str, text: str, limit: int = 2000, overlap: int = 200, with_text: bool = True) -> DataFrame:

@@ -2,21 +2,24 @@
 
 A worker keeps a trie whose leaves are small tables of (term -> occurrences, records). A leaf that
 grows over ``burst`` terms bursts into one leaf per next character, so prefixes get as long as the
-data ask for. Leaves are written out as rows (prefix, terms, counts). From the sizes of all leaves
-a routing table is made: prefixes, again longer where terms are dense, such that none holds many
-more than an even share. Leaves follow the table to the worker of their prefix, where matching
-subtrees are merged by adding counts. Nothing is dropped: a single term, however common, comes at
-most once from each worker's trie.
+data ask for. Leaves are written out as rows (prefix, terms, counts). From a bounded hash sample of
+their terms a routing table is made: prefixes, longer where terms are dense, until none holds more than
+``share`` entries; one that terms don't differ in soon enough is divided by a hash of the term. So a
+route has a size of its own that doesn't grow with the data. Leaves follow the table to the worker of
+their route, where matching subtrees are merged by adding counts in a hash aggregate, which can spill.
+Nothing is dropped: a single term, however common, comes at most once from each worker's trie.
 """
 
 from __future__ import annotations
 
+import bisect
+import math
 import re
 from collections import Counter
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from polyvec.plans.shared import checkpoint
@@ -114,61 +117,89 @@ def _count_leaves(df: DataFrame, field: str, value: str, terms: Callable[[object
     return df.select(value).mapInArrow(run, "field string, prefix string, term array<string>, occurrences array<bigint>, records array<bigint>, size bigint")
 
 
-def routing_table(leaves: DataFrame, routes: int, depth: int = 16) -> dict[str, set[str]]:
-    """Per field, the prefixes that are split further; at most ``routes`` of them a field and level.
+LONGEST = 64  # characters of a prefix
+
+
+class Routes(set):
+    """The prefixes of one field that are divided by the next character; ``ways`` has those divided by a hash of the term, and in how many."""
+
+    ways: dict[str, int]
+
+    @classmethod
+    def grown(cls, terms: list[str], weight: float, share: int) -> Routes:
+        """From a sample of the terms, each of which stands for ``weight``."""
+        self = cls()
+        self.ways = {}
+        terms.sort()
+        waiting = [("", 0, len(terms))]
+        while waiting:
+            prefix, a, b = waiting.pop()
+            size, depth = (b - a) * weight, len(prefix)
+            if size <= share:
+                continue
+            if depth >= LONGEST or b - a < 8:
+                self.ways[prefix] = math.ceil(size / share)
+                continue
+            self.add(prefix)
+            while a < b and len(terms[a]) == depth:
+                a += 1  # the prefix itself
+            while a < b:
+                child = terms[a][: depth + 1]
+                end = bisect.bisect_left(terms, child[:-1] + chr(ord(child[-1]) + 1), a, b)
+                waiting.append((child, a, end))
+                a = end
+        return self
+
+    def of(self, term: str) -> str:
+        depth = 0
+        while depth < len(term) and term[:depth] in self:
+            depth += 1
+        return term[:depth]
+
+    def of_leaf(self, prefix: str) -> str | None:
+        """The route of all terms with a prefix, if it is one."""
+        route = self.of(prefix)
+        return None if route == prefix and route in self else route
+
 
-    A prefix is split while the leaves below it hold more than a ``routes``-th of all their terms, so
-    a level splits fewer than ``routes`` prefixes, whatever the vocabulary.
+def routing_table(leaves: DataFrame, routes: int = 512, share: int = 1_000_000, sketched: int = 200_000) -> dict[str, Routes]:
+    """Per field its ``Routes``, from about ``sketched`` hashed terms a field. Two jobs, whatever the depth.
+
+    A route holds at most about ``share`` entries, and of a smaller field a ``routes``-th, though 4,096 at least.
     """
-    terms = leaves.where("prefix is not null").select("field", F.explode("term").alias("term"))
-    split: dict[str, set[str]] = {}
-    total = {r["field"]: r["n"] for r in leaves.where("prefix is not null").groupBy("field").agg(F.sum("size").alias("n")).collect()}
-    for field, n in total.items():
-        split[field] = set()
-        share = max(4096, n // routes)
-        if n > share:
-            split[field].add("")
-    for level in range(1, depth + 1):
-        if not any(split.values()):
-            break
-        heavy = (
-            terms.where(F.length("term") >= level).groupBy("field", F.substring("term", 1, level).alias("prefix")).agg(F.count(F.lit(1)).alias("n"))
-        )
-        limits = F.create_map(*[x for f, n in total.items() for x in (F.lit(f), F.lit(max(4096, n // routes)))])
-        found = heavy.where(F.col("n") > limits[F.col("field")]).collect()
-        if not found:
-            break
-        for r in found:
-            split[r["field"]].add(r["prefix"])
-    return split
-
-
-def term_counts(leaves: DataFrame, routes: int) -> DataFrame:
+    filled = leaves.where("prefix is not null")
+    total = {r["field"]: r["n"] for r in filled.groupBy("field").agg(F.sum("size").alias("n")).collect()}
+    limit = {f: min(share, max(4096, n // routes)) for f, n in total.items()}
+    wanted = {f: min(1.0, sketched / n) for f, n in total.items() if n > limit[f]}
+    if not wanted:
+        return {}
+    rate = F.create_map(*[x for f, r in wanted.items() for x in (F.lit(f), F.lit(int(r * 1_000_000)))])
+    terms = filled.where(F.col("field").isin(list(wanted))).select("field", F.explode("term").alias("term")).where(F.pmod(F.xxhash64("term"), F.lit(1_000_000)) < rate[F.col("field")])
+    drawn: dict[str, list[str]] = {f: [] for f in wanted}
+    for r in terms.select("field", F.substring("term", 1, LONGEST + 1).alias("term")).collect():
+        drawn[r["field"]].append(r["term"])
+    return {f: Routes.grown(found, total[f] / max(1, len(found)), limit[f]) for f, found in drawn.items()}
+
+
+def term_counts(leaves: DataFrame, routes: int = 512, share: int = 1_000_000, sketched: int = 200_000) -> DataFrame:
     """``(field, term, occurrences, records)``: leaves routed by adaptive prefix, matching subtrees merged."""
-    split = routing_table(leaves, routes)
+    table = routing_table(leaves, routes, share, sketched)
 
     def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(batch.num_rows):
-                field, heavy = batch.column(0)[i].as_py(), split.get(batch.column(0)[i].as_py(), set())
-                parts: dict[str, list[int]] = {}
-                terms = batch.column(1)[i].as_py()
-                for at, term in enumerate(terms):
-                    d = 0
-                    while d < len(term) and term[:d] in heavy:
-                        d += 1
-                    parts.setdefault(term[:d], []).append(at)
-                whole = [batch.column(c)[i].values for c in (1, 2, 3)]
-                for prefix, rows in parts.items():
-                    index = pa.array(rows)
-                    yield pa.RecordBatch.from_arrays([pa.array([field] * len(rows)), pa.array([prefix] * len(rows)), *(w.take(index) for w in whole)], names=["field", "route", "term", "occurrences", "records"])
-
-    def merge(table: pa.Table) -> pa.Table:
-        merged = table.group_by(["field", "term"]).aggregate([("occurrences", "sum"), ("records", "sum")])
-        return merged.select(["field", "term", "occurrences_sum", "records_sum"]).rename_columns(["field", "term", "occurrences", "records"])
-
-    routed = leaves.where("prefix is not null").select("field", "term", "occurrences", "records").mapInArrow(route, "field string, route string, term string, occurrences bigint, records bigint")
-    return routed.groupBy("field", "route").applyInArrow(merge, "field string, term string, occurrences bigint, records bigint")
+                known = table.get(batch.column(0)[i].as_py())
+                columns = [batch.column(c)[i].values for c in (2, 3, 4)]
+                n = len(columns[0])
+                whole = "" if known is None else known.of_leaf(batch.column(1)[i].as_py())
+                names = [whole] * n if whole is not None else [known.of(t) for t in columns[0].to_pylist()]
+                ways = [1 if known is None else known.ways.get(r, 1) for r in ([whole] if whole is not None else names)]
+                yield pa.RecordBatch.from_arrays([pa.array([batch.column(0)[i].as_py()] * n), pa.array(names, pa.string()), pa.array(ways * n if whole is not None else ways, pa.int64()), *columns], names=["field", "route", "ways", "term", "occurrences", "records"])
+
+    routed = leaves.where("prefix is not null").select("field", "prefix", "term", "occurrences", "records").mapInArrow(route, "field string, route string, ways bigint, term string, occurrences bigint, records bigint")
+    placed = routed.withColumn("way", F.pmod(F.xxhash64("term"), F.col("ways")))
+    keys = ["field", "route", "way"]
+    return placed.repartition(*keys).groupBy(*keys, "term").agg(F.sum("occurrences").alias("occurrences"), F.sum("records").alias("records")).drop("route", "way")
 
 
 def latest_values(df: DataFrame, key: str, value: str, at: str) -> DataFrame:
@@ -177,7 +208,7 @@ def latest_values(df: DataFrame, key: str, value: str, at: str) -> DataFrame:
     return rows.groupBy("key").agg(F.max(F.struct("at", "value")).alias("m")).select(F.col("m.value").alias("value"))
 
 
-def term_frequencies(fields: list[tuple[str, DataFrame, Callable]], rare: int = 2, common: float = 0.2, burst: int = 2048, most: int = 400_000, routes: int = 512) -> DataFrame:
+def term_frequencies(fields: list[tuple[str, DataFrame, Callable]], rare: int = 2, common: float = 0.2, burst: int = 2048, most: int = 400_000, routes: int = 512, share: int = 1_000_000, sketched: int = 200_000) -> DataFrame:
     """``(field, term, occurrences, records, mark)`` over several fields.
 
     ``fields`` has a name, a table with one row ``value`` per record, and a function from a value to its
@@ -195,4 +226,4 @@ def term_frequencies(fields: list[tuple[str, DataFrame, Callable]], rare: int =
     counts = {r["field"]: r["n"] for r in total.collect()}  # one number a field
     limit = F.create_map(*[x for f, n in counts.items() for x in (F.lit(f), F.lit(n))]) if counts else F.create_map(F.lit(""), F.lit(0))
     mark = F.when(F.col("records") <= rare, "rare").when(F.col("records") > limit[F.col("field")] * F.lit(common), "common")
-    return term_counts(leaves, routes).withColumn("mark", mark)
+    return term_counts(leaves, routes, share, sketched).withColumn("mark", mark)

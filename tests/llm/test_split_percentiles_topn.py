@@ -111,3 +111,30 @@ def test_top_n(spark):
 def test_latest_scores(spark):
     df = spark.createDataFrame([("q", "a", 1.0, 1), ("q", "a", 2.0, 2), ("q", "b", 1.0, 2), ("q", "b", None, 3), ("q", "c", 1.0, 1), ("q", "c", math.nan, 1), ("q", "d", 3.0, None)], "q string, d string, s double, at int")
     assert {(r["d"], r["s"]) for r in N.latest_scores(df, "q", "d", "s", "at").collect()} == {("a", 2.0), ("c", 1.0), ("d", 3.0)}
+
+
+def test_stretches_between_runs_are_balanced():
+    sentence = "This is a sentence of some words. "
+    text = sentence * 500 + "x" * 2500 + " " + sentence * 500
+    pieces = check(text, 2000, 200)
+    sizes = [b - a for a, b, _ in pieces]
+    lead = [s for s in sizes[:9]]
+    assert sum(k == S.FORCED for *_, k in pieces) == 1 and max(lead) - min(lead) < 200
+    assert all(100 <= b - c <= 300 for (_, b, _), (c, _, _) in zip(pieces, pieces[1:]))
+
+
+@settings(max_examples=40, deadline=None)
+@given(st.lists(st.integers(1, 1500), min_size=8, max_size=40), st.integers(0, 99))
+def test_overlap_is_kept_in_long_words(lengths, seed):
+    text = " ".join("w" * n for n in lengths)
+    if len(text) <= 2000:
+        return
+    pieces = check(text, 2000, 200)
+    shared = [b - c for (_, b, _), (c, _, _) in zip(pieces, pieces[1:])]
+    assert all(100 <= s <= 300 for s in shared)  # no word is so long that the overlap has to shrink
+
+
+def test_overlap_shrinks_only_for_a_natural_cut():
+    text = " ".join("w" * 1950 for _ in range(6))
+    pieces = check(text, 2000, 200)
+    assert all(k == S.NATURAL for *_, k in pieces) and all(40 <= b - c <= 200 for (_, b, _), (c, _, _) in zip(pieces, pieces[1:]))

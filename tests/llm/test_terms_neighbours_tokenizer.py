@@ -195,3 +195,25 @@ def test_hot_directions_and_changed_ids(spark):
     assert len(by) == 3000 and all(len(v) == 3 for v in by.values())
     assert sorted(by[0]) == [(1, 1), (2, 2), (3, 3)] and sorted(by[999]) == [(1, 0), (2, 1), (3, 2)]
     assert df.schema["id"].dataType == V.most_similar(df, "id", "vec", 3, dim=8).schema["neighbour"].dataType
+
+
+def test_routes_with_long_common_prefixes(spark):
+    """Terms that differ only after 30 characters, after more than a prefix may have, or not at all soon enough."""
+    for lead in (30, T.LONGEST + 10):
+        terms = ["x" * lead + f"{i:06}" for i in range(40_000)] + [f"y{i}" for i in range(5_000)]
+        rows = [("f", "", terms[at : at + 3000], [1] * 3000, [1] * 3000, 3000) for at in range(0, 45_000, 3000)] * 2
+        leaves = spark.createDataFrame(rows, "field string, prefix string, term array<string>, occurrences array<bigint>, records array<bigint>, size bigint")
+        table = T.routing_table(leaves, 64, 5000, 8000)["f"]
+        sizes = Counter()
+        for t in terms:
+            sizes[table.of(t)] += 2
+        assert all(n / table.ways.get(r, 1) < 3 * 5000 for r, n in sizes.items())
+        assert (max(map(len, sizes)) > 30) and bool(table.ways) == (lead > T.LONGEST)
+        counted = T.term_counts(leaves, 64, 5000, 8000)
+        assert counted.count() == 45_000 and counted.where("occurrences <> 2 or records <> 2").count() == 0
+
+
+def test_a_million_terms_that_share_thirty_characters(spark):
+    df = spark.range(1_000_000, numPartitions=8).select(F.concat(F.lit("k" * 30), F.lpad(F.col("id").cast("string"), 7, "0")).alias("value"))
+    got = T.term_frequencies([("f", df, T.text_terms)], share=50_000)
+    assert got.agg(F.count(F.lit(1)), F.sum("records"), F.countDistinct("term")).first() == (1_000_000, 1_000_000, 1_000_000)
