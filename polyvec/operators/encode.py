@@ -10,7 +10,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from polyvec.functions.text import STOP_WORDS, stems, tokens
@@ -151,8 +151,18 @@ def term_frequencies(texts: DataFrame, stop_words: tuple[str, ...] = STOP_WORDS,
 def bm25_index(texts: DataFrame, k1: float = 1.2, b: float = 0.75, stop_words: tuple[str, ...] = STOP_WORDS, stemmed: bool = False) -> DataFrame:
     """``(id, term, weight)`` with ``idf = ln(1 + (N - df + 0.5) / (df + 0.5))``. Texts without terms count in N and the mean length."""
     tf = term_frequencies(texts, stop_words, stemmed)
-    df = tf.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     total = texts.agg(F.count(F.lit(1)).alias("n_docs")).crossJoin(tf.agg(F.sum("tf").alias("all")))  # two single rows
+    return bm25_weights(tf, total, k1, b)
+
+
+def corpus_size(counts: DataFrame) -> DataFrame:
+    """``(n_docs, all)`` of counts ``(id, term, tf, length)`` in which documents without terms have a row too."""
+    return counts.agg(F.countDistinct("id").alias("n_docs"), F.sum("tf").alias("all"))
+
+
+def bm25_weights(tf: DataFrame, total: DataFrame, k1: float = 1.2, b: float = 0.75) -> DataFrame:
+    """``(id, term, weight)`` from raw counts ``(id, term, tf, length)`` and one row ``(n_docs, all)``."""
+    df = tf.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     stats = total.select("n_docs", (F.col("all") / F.col("n_docs")).alias("mean_length"))
     joined = tf.join(df, "term").crossJoin(F.broadcast(stats))  # one row, whatever the corpus
     idf = F.ln(1 + (F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))
@@ -165,11 +175,6 @@ def bm25_queries(texts: DataFrame, stop_words: tuple[str, ...] = STOP_WORDS, ste
     return term_frequencies(texts, stop_words, stemmed).select("id", "term", F.col("tf").cast("double").alias("weight"))
 
 
-def bm25_append(counts: DataFrame, more: DataFrame) -> DataFrame:
-    """Raw counts of two segments ``(id, term, tf, length)``; weights follow from the union, so segments just add up."""
-    return counts.unionByName(more)
-
-
 def index_size(postings: DataFrame, items: int) -> DataFrame:
     """``(nnz, terms, csr_bytes, index_bytes)``: 4-byte values and ids, 4-byte row and 8-byte term offsets."""
     one = postings.agg(F.count(F.lit(1)).alias("nnz"), F.countDistinct("term").alias("terms"))
@@ -180,8 +185,3 @@ def mean_nnz(postings: DataFrame, items: DataFrame) -> DataFrame:
     """``(items, nnz, mean_nnz)`` over all items, those without a posting too."""
     return items.agg(F.count(F.lit(1)).alias("items")).crossJoin(postings.agg(F.count(F.lit(1)).alias("nnz"))).withColumn("mean_nnz", F.col("nnz") / F.col("items"))
 
-
-def block_ranks(hits: DataFrame, width: int) -> DataFrame:
-    """``hits`` with the place of each anchor in its token's block, by SQL window."""
-    order = Window.partitionBy("id", "pos", F.floor(F.col("anchor") / width)).orderBy(F.col("p").desc(), "anchor")
-    return hits.withColumn("place", F.row_number().over(order).cast("bigint"))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from polyvec.operators.ordered import running
 from polyvec.operators.stats import average_ranks
 
 
@@ -43,20 +44,19 @@ def labels(first: DataFrame, base: DataFrame, escalated: DataFrame, k: int = 10)
 def escalation_curve(scored: DataFrame) -> DataFrame:
     """``(n, frac, value)`` of ``(query_id, score, gain, base)``: the mean when the n highest scores are escalated, ties by id.
 
-    One row a query; the running sum needs them in one order.
+    The order is range-partitioned; its running sum isn't made in one task.
     """
     total = scored.agg(F.count(F.lit(1)).alias("size"), F.avg("base").alias("mean"))
-    order = Window.orderBy(F.col("score").desc(), "query_id")
-    steps = scored.select(F.row_number().over(order).alias("n"), F.sum("gain").over(order.rowsBetween(Window.unboundedPreceding, 0)).alias("won"))
+    steps = running(scored, [F.col("score").desc(), F.col("query_id")], ["gain"]).select(F.col("place").alias("n"), F.col("gain_upto").alias("won"))
     start = total.select(F.lit(0).alias("n"), F.lit(0.0).alias("won"))
     return steps.unionByName(start).crossJoin(total).select(F.col("n").cast("bigint").alias("n"), (F.col("n") / F.col("size")).alias("frac"), (F.col("mean") + F.col("won") / F.col("size")).alias("value"))
 
 
 def curve_area(curve: DataFrame) -> DataFrame:
-    """``(area)``: trapezoids between the curve and its first value."""
-    w = Window.orderBy("n")
-    parts = curve.select((F.col("frac") - F.lag("frac").over(w)).alias("dx"), (F.col("value") + F.lag("value").over(w)).alias("yy"), F.col("frac"), F.first("value").over(w).alias("y0"))
-    return parts.agg(F.coalesce(F.sum(F.col("dx") * (F.col("yy") / 2 - F.col("y0"))), F.lit(0.0)).alias("area"))
+    """``(area)``: trapezoids between the curve and its first value. Steps are equal, so the area is a sum without an order."""
+    ends = curve.agg(F.sum("value").alias("s"), F.min_by("value", "n").alias("first"), F.max_by("value", "n").alias("last"), F.max("n").alias("n"))
+    area = (F.col("s") - (F.col("first") + F.col("last")) / 2 - F.col("n") * F.col("first")) / F.col("n")
+    return ends.select(F.coalesce(F.when(F.col("n") > 0, area), F.lit(0.0)).alias("area"))
 
 
 def gain_kept(scored: DataFrame) -> DataFrame:

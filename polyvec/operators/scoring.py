@@ -1,28 +1,30 @@
-"""Scores ``(query_id, doc_id, score)`` of queries against documents.
+"""Scoring of queries against documents: dense, late interaction, sparse, fusions.
 
-Two ways to the same numbers. Relational: joins and aggregates, for sparse data. Blocks: one side
-(the queries) goes to every worker in blocks of bounded size, the other is scanned once a block and
-multiplied by matrix kernels; with ``k`` a worker keeps only the k best of what it has seen, so that
-little is shuffled however many documents there are.
+Scores are rounded before anything is ranked by them, so that ties don't depend on the order of
+addition. A query side of a counted size up to ``BLOCK_FLOATS`` is broadcast and the documents stream
+past it. A larger one meets the documents in cells on the workers: both sides are cut into blocks, every
+pair of blocks is one group, and no side comes to the driver. Kernels multiply blocks; with ``k`` a task
+keeps only the k best of what it has seen, so that little is shuffled however many documents there are.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute  # noqa: F401
-from pyspark.sql import DataFrame, Window
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
-from polyvec.plans.shared import checkpoint
+from polyvec.operators.ordered import running
 
-BLOCK_FLOATS = 4_000_000  # floats of the query side in one broadcast
+BLOCK_FLOATS = 4_000_000  # numbers of one side in one block
 
 
 def _blocks(queries: DataFrame, dim: int, floats: int = BLOCK_FLOATS) -> list[DataFrame]:
-    """The query side in parts small enough to broadcast, from a count of its vectors."""
+    """The query side in parts of a bounded size, from a count of its vectors; several parts are met in cells."""
     n = queries.count()
     parts = max(1, -(-n * dim // floats))
     return [queries] if parts == 1 else [queries.where(F.pmod(F.xxhash64("id"), F.lit(parts)) == b) for b in range(parts)]
@@ -32,121 +34,216 @@ def _kind(df: DataFrame, name: str = "id") -> str:
     return df.schema[name].dataType.simpleString()
 
 
-def _vectors(column: pa.Array) -> np.ndarray:
-    flat = column.flatten()
-    return np.asarray(flat.to_numpy(zero_copy_only=False), np.float64).reshape(len(column), -1)
-
-
 class Best:
-    """The k best documents of each query so far, by rounded score, then id."""
+    """The k best documents of each query so far, by rounded score, then id. Minus infinity is no score."""
 
-    def __init__(self, queries: int, k: int | None, digits: int) -> None:
-        self.k, self.digits = k, digits
+    def __init__(self, queries: int, k: int) -> None:
+        self.k = k
         self.held: list[list[tuple]] = [[] for _ in range(queries)]
 
-    def add(self, scores: np.ndarray, ids: list, drop: Callable[[int], object] | None) -> None:
-        rounded = np.round(scores, self.digits)
-        for q in range(len(rounded)):
-            row = rounded[q]
-            if self.k is not None and len(row) > 2 * self.k + 2:
-                edge = -np.partition(-row, self.k + 1)[self.k + 1]
-                near = np.flatnonzero(row >= edge)
-            else:
-                near = range(len(row))
-            out = drop(q) if drop else None
-            held = self.held[q] + [(-row[i], ids[i]) for i in near if out is None or ids[i] != out]
-            self.held[q] = held if self.k is None else sorted(held)[: self.k]
-
-    def rows(self, query_ids: list, q_type: pa.DataType, d_type: pa.DataType) -> Iterator[pa.RecordBatch]:
-        for q, held in zip(query_ids, self.held):
-            if held:
-                yield pa.RecordBatch.from_arrays([pa.array([q] * len(held), q_type), pa.array([d for _, d in held], d_type), pa.array([-s + 0.0 for s, _ in held], pa.float64())], names=["query_id", "doc_id", "score"])
-
-
-def _all_pairs(ids: list, batch: pa.RecordBatch, matrix: np.ndarray, digits: int, exclude_self: bool, q_type: pa.DataType) -> Iterator[pa.RecordBatch]:
-    """Every pair of a batch, a few documents at a time, without a Python object per pair."""
-    query_ids = pa.array(ids, q_type)
-    step = max(1, 500_000 // len(ids))
-    for at in range(0, batch.num_rows, step):
-        piece = batch.slice(at, step)
-        scores = np.round(_vectors(piece.column(1)) @ matrix.T, digits) + 0.0
-        q = query_ids.take(pa.array(np.tile(np.arange(len(ids)), piece.num_rows)))
-        d = piece.column(0).take(pa.array(np.repeat(np.arange(piece.num_rows), len(ids))))
-        out = pa.RecordBatch.from_arrays([q, d, pa.array(scores.ravel())], names=["query_id", "doc_id", "score"])
-        yield out.filter(pa.compute.not_equal(q, d)) if exclude_self and q.type == d.type else out
+    def add(self, scores: np.ndarray, ids: list, own: list | None) -> None:
+        wide = scores.shape[1] > 2 * self.k + 2
+        if wide:  # what can't be among the k best even if one is left out
+            edge = -np.partition(-scores, self.k + 1, axis=1)[:, self.k + 1]
+        for q in range(len(scores)):
+            row = scores[q]
+            near = np.flatnonzero(row >= edge[q]) if wide else range(len(row))
+            held = self.held[q]
+            last = held[-1][0] if len(held) == self.k else np.inf
+            more = [(-row[i], ids[i]) for i in near if -row[i] <= last and row[i] != -np.inf and (own is None or ids[i] != own[q])]
+            if more:
+                self.held[q] = sorted(held + more)[: self.k]
+
+    def rows(self, query_ids: pa.Array, d_type: pa.DataType) -> pa.RecordBatch:
+        sizes = [len(h) for h in self.held]
+        flat = [x for h in self.held for x in h]
+        return pa.RecordBatch.from_arrays(
+            [query_ids.take(pa.array(np.repeat(np.arange(len(sizes)), sizes))), pa.array([d for _, d in flat], d_type), pa.array([-s + 0.0 for s, _ in flat], pa.float64())], names=["query_id", "doc_id", "score"]
+        )
+
+
+class _Side:
+    """Items of a query block: ``id``, and ``flat`` vectors (bags of ``dim`` numbers each), ``terms`` and ``weights``, or both."""
+
+    def __init__(self, table: pa.Table | pa.RecordBatch, dim: int) -> None:
+        names = table.schema.names
+        column = lambda n: table.column(n).combine_chunks() if isinstance(table, pa.Table) else table.column(n)
+        self.ids = column("id")
+        if "flat" in names:
+            self.matrix, self.sizes = _bags(column("flat"), dim)
+            self.starts = np.cumsum(self.sizes) - self.sizes
+        if "terms" in names:
+            terms, weights = column("terms"), column("weights")
+            owner = np.repeat(np.arange(len(terms)), _lengths(terms))
+            coded = terms.flatten().dictionary_encode()
+            order = np.argsort(coded.indices.to_numpy(), kind="stable")
+            self.terms = coded.dictionary
+            self.owner, self.weight = owner[order], weights.flatten().to_numpy(zero_copy_only=False)[order]
+            self.first = np.searchsorted(coded.indices.to_numpy()[order], np.arange(len(self.terms) + 1))
+
+
+def _lengths(lists: pa.Array) -> np.ndarray:
+    return np.asarray(pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False), np.int64)
+
+
+def _bags(lists: pa.Array, dim: int) -> tuple[np.ndarray, np.ndarray]:
+    flat = np.asarray(lists.flatten().to_numpy(zero_copy_only=False), np.float64)
+    return flat.reshape(-1, dim), _lengths(lists) // dim
+
+
+class Kernel:
+    """Scores of a block of queries with some documents, rounded. ``alpha``: of the sparse part where there are both."""
+
+    def __init__(self, dim: int = 0, sparse: bool = False, alpha: float = 1.0, digits: int = 6) -> None:
+        self.dim, self.sparse, self.alpha, self.digits = dim, sparse, alpha, digits
+
+    def columns(self) -> list[str]:
+        return ["id", *(["flat"] if self.dim else []), *(["terms", "weights"] if self.sparse else [])]
+
+    def scores(self, side: _Side, docs: pa.RecordBatch) -> np.ndarray:
+        out = None
+        if self.dim:
+            flat, sizes = _bags(docs.column(docs.schema.names.index("flat")), self.dim)
+            product = side.matrix @ flat.T
+            if len(flat) > docs.num_rows:
+                product = np.maximum.reduceat(product, np.cumsum(sizes) - sizes, axis=1)
+            if len(product) > len(side.ids):
+                product = np.add.reduceat(product, side.starts, axis=0)
+            out = np.round(product, self.digits)
+        if self.sparse:
+            lex = self._products(side, docs)
+            out = lex if out is None else np.round(out + self.alpha * np.where(lex == -np.inf, 0.0, lex), 9)
+        return out
+
+    def _products(self, side: _Side, docs: pa.RecordBatch) -> np.ndarray:
+        """Sums over shared terms by looking a document's terms up among the queries' postings; minus infinity where none is shared."""
+        terms, weights = (docs.column(docs.schema.names.index(n)) for n in ("terms", "weights"))
+        doc = np.repeat(np.arange(docs.num_rows), _lengths(terms))
+        at = pc.fill_null(pc.index_in(terms.flatten(), value_set=side.terms), -1).to_numpy(zero_copy_only=False)
+        known = at >= 0
+        at, doc, weight = at[known], doc[known], weights.flatten().to_numpy(zero_copy_only=False)[known]
+        n, out = len(side.ids), np.full((docs.num_rows, len(side.ids)), -np.inf)
+        bounds = np.searchsorted(doc, np.arange(docs.num_rows + 1))
+        for d in range(docs.num_rows):
+            a, b = bounds[d], bounds[d + 1]
+            if a == b:
+                continue
+            counts = side.first[at[a:b] + 1] - side.first[at[a:b]]
+            index = np.repeat(side.first[at[a:b]] - np.cumsum(counts) + counts, counts) + np.arange(counts.sum())
+            owner = side.owner[index]
+            row = np.bincount(owner, side.weight[index] * np.repeat(weight[a:b], counts), n)
+            hit = np.zeros(n, bool)
+            hit[owner] = True
+            out[d, hit] = np.round(row[hit], self.digits)
+        return out.T
+
+
+def _streamed(kernel: Kernel, side: _Side, batches: Iterator[pa.RecordBatch], k: int | None, exclude_self: bool, d_type: pa.DataType) -> Iterator[pa.RecordBatch]:
+    n = len(side.ids)
+    if not n:
+        return
+    own = side.ids.to_pylist() if exclude_self else None
+    best = Best(n, k) if k is not None else None
+    step = max(1, min(4096, 4_000_000 // max(n, len(getattr(side, "matrix", ())))))
+    for batch in batches:
+        for at in range(0, batch.num_rows, step):
+            piece = batch.slice(at, step)
+            scores = kernel.scores(side, piece)
+            if best:
+                best.add(scores, piece.column(0).to_pylist(), own)
+                continue
+            q, d = np.nonzero(scores.T != -np.inf)[::-1]
+            q_ids, d_ids = side.ids.take(pa.array(q)), piece.column(0).take(pa.array(d))
+            out = pa.RecordBatch.from_arrays([q_ids, d_ids, pa.array(scores[q, d] + 0.0)], names=["query_id", "doc_id", "score"])
+            yield out.filter(pc.not_equal(q_ids, d_ids)) if exclude_self and q_ids.type == d_ids.type else out
+    if best:
+        yield best.rows(side.ids, d_type)
+
+
+def block_scores(kernel: Kernel, queries: DataFrame, docs: DataFrame, k: int | None = None, exclude_self: bool = False, query_blocks: int = 1, doc_blocks: int = 1) -> DataFrame:
+    """``(query_id, doc_id, score)``: the ``k`` best per query and task, or all pairs.
+
+    Both sides have an ``id`` and the kernel's columns. One query block is broadcast; the caller has
+    counted it. Several, and as many blocks of documents as asked for, meet in cells.
+    """
+    schema = f"query_id {_kind(queries)}, doc_id {_kind(docs)}, score double"
+    d_type = to_arrow_type(docs.schema["id"].dataType)
+    columns = kernel.columns()
+    queries, docs = queries.select(*columns), docs.select(*columns)
+    if query_blocks == 1:
+        held = docs.sparkSession.sparkContext.broadcast(queries.toArrow())
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            return _streamed(kernel, _Side(held.value, kernel.dim), batches, k, exclude_self, d_type)
+
+        return docs.mapInArrow(run, schema)
+    block = lambda n: F.pmod(F.xxhash64("id"), F.lit(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    left = queries.select(F.lit(True).alias("asks"), block(query_blocks).alias("q"), every(doc_blocks).alias("d"), F.col("id").alias("q_id"), F.lit(None).cast(_kind(docs)).alias("d_id"), *columns[1:])
+    right = docs.select(F.lit(False).alias("asks"), every(query_blocks).alias("q"), block(doc_blocks).alias("d"), F.lit(None).cast(_kind(queries)).alias("q_id"), F.col("id").alias("d_id"), *columns[1:])
+
+    def cell(table: pa.Table) -> pa.Table:
+        mine = lambda asks, name: table.filter(table.column("asks") if asks else pc.invert(table.column("asks"))).select([name, *columns[1:]]).rename_columns(columns)
+        found = list(_streamed(kernel, _Side(mine(True, "q_id"), kernel.dim), mine(False, "d_id").combine_chunks().to_batches(), k, exclude_self, d_type))
+        empty = pa.schema([("query_id", table.schema.field("q_id").type), ("doc_id", table.schema.field("d_id").type), ("score", pa.float64())])
+        return pa.Table.from_batches(found, empty) if found else empty.empty_table()
+
+    return left.unionByName(right).groupBy("q", "d").applyInArrow(cell, schema)
+
+
+def _in_blocks(kernel: Kernel, queries: DataFrame, docs: DataFrame, k: int | None, exclude_self: bool, counted: DataFrame, dim: int) -> DataFrame:
+    """``counted`` has a row for each ``dim`` numbers of the query side."""
+    parts = len(_blocks(counted, dim))
+    return block_scores(kernel, queries, docs, k, exclude_self, parts, parts if parts == 1 else max(1, -(-docs.count() * dim // BLOCK_FLOATS)))
 
 
 def dense_scores(queries: DataFrame, docs: DataFrame, k: int | None = None, exclude_self: bool = False, digits: int = 6, dim: int = 64) -> DataFrame:
     """Dot products of ``(id, vec)`` with ``(id, vec)``, rounded to ``digits``; the ``k`` best per query and task if given."""
-    schema = f"query_id {_kind(queries)}, doc_id {_kind(docs)}, score double"
-    out = None
-    for block in _blocks(queries, dim):
-        rows = block.select("id", "vec").collect()
-        held = docs.sparkSession.sparkContext.broadcast(([r["id"] for r in rows], np.array([r["vec"] for r in rows], np.float64)))
-        q_type = queries.select("id").schema
-
-        def run(batches: Iterator[pa.RecordBatch], held=held) -> Iterator[pa.RecordBatch]:
-            ids, matrix = held.value
-            best, d_type = Best(len(ids), k, digits), None
-            for batch in batches:
-                if not batch.num_rows or not len(ids):
-                    continue
-                d_type = batch.schema.field(0).type
-                if k is None:
-                    yield from _all_pairs(ids, batch, matrix, digits, exclude_self, q_arrow(ids))
-                    continue
-                best.add(matrix @ _vectors(batch.column(1)).T, batch.column(0).to_pylist(), (lambda q: ids[q]) if exclude_self else None)
-            if d_type is not None:
-                yield from best.rows(ids, q_arrow(ids), d_type)
-
-        q_kind = q_type["id"].dataType.simpleString()
-
-        def q_arrow(ids: list, q_kind: str = q_kind) -> pa.DataType:
-            return pa.array(ids).type if q_kind == "string" else pa.int32() if q_kind == "int" else pa.int64()
-
-        part = docs.select("id", "vec").mapInArrow(run, schema)
-        out = part if out is None else out.unionByName(part)
-    return out
+    q, d = (t.select("id", F.col("vec").alias("flat")) for t in (queries, docs))
+    return _in_blocks(Kernel(dim, digits=digits), q, d, k, exclude_self, q, dim)
+
+
+def bags(vectors: DataFrame) -> DataFrame:
+    """``(id, flat)``: the vectors of each bag ``(id, pos, vec)`` in order, gathered once (bags are short)."""
+    return vectors.groupBy("id").agg(F.flatten(F.transform(F.sort_array(F.collect_list(F.struct("pos", "vec"))), lambda e: e["vec"])).alias("flat"))
 
 
 def maxsim_scores(queries: DataFrame, docs: DataFrame, k: int | None = None, digits: int = 6, dim: int = 64, exclude_self: bool = False) -> DataFrame:
-    """Sum over a query's vectors of the best dot product with any of a document's; bags are ``(id, pos, vec)``.
+    """Sum over a query's vectors of the best dot product with any of a document's; bags are ``(id, pos, vec)``. All of a query's vectors lie in one block."""
+    return _in_blocks(Kernel(dim, digits=digits), bags(queries), bags(docs), k, exclude_self, queries, dim)
+
+
+def term_lists(postings: DataFrame) -> DataFrame:
+    """``(id, terms, weights)`` of ``(id, term, weight)``."""
+    one = postings.groupBy("id").agg(F.collect_list(F.struct("term", F.col("weight").cast("double").alias("weight"))).alias("p"))
+    return one.select("id", F.col("p.term").alias("terms"), F.col("p.weight").alias("weights"))
 
-    A document's bag is gathered once (bags are short); all of a query's vectors lie in one block.
+
+def sparse_topk(queries: DataFrame, docs: DataFrame, k: int, exclude_self: bool = False, digits: int = 6) -> DataFrame:
+    """The ``k`` best of ``sparse_scores`` per query and task, without a row per matching pair.
+
+    Postings of terms that no query has are left out before documents are gathered, by a broadcast of the
+    terms where the postings of the query side are counted as one block. A frequent term costs its
+    postings once a document that has it, and no shuffle.
     """
-    schema = f"query_id {_kind(queries)}, doc_id {_kind(docs)}, score double"
-    bags = docs.groupBy("id").agg(F.flatten(F.transform(F.sort_array(F.collect_list(F.struct("pos", "vec"))), lambda e: e["vec"])).alias("flat"))
-    q_kind = _kind(queries)
-    out = None
-    for block in _blocks(queries, dim):
-        grouped: dict = {}
-        for r in block.select("id", "pos", "vec").orderBy("id", "pos").collect():
-            grouped.setdefault(r["id"], []).append(r["vec"])
-        ids = list(grouped)
-        lengths = [len(grouped[i]) for i in ids]
-        matrix = np.array([v for i in ids for v in grouped[i]], np.float64).reshape(-1, dim)
-        held = docs.sparkSession.sparkContext.broadcast((ids, np.cumsum([0, *lengths[:-1]]) if ids else np.empty(0, int), matrix))
-
-        def run(batches: Iterator[pa.RecordBatch], held=held) -> Iterator[pa.RecordBatch]:
-            ids, q_starts, matrix = held.value
-            best, d_type = Best(len(ids), k, digits), None
-            for batch in batches:
-                if not batch.num_rows or not len(ids):
-                    continue
-                d_type = batch.schema.field(0).type
-                for at in range(0, batch.num_rows, 512):
-                    piece = batch.slice(at, 512)
-                    sizes = np.asarray(pa.compute.list_value_length(piece.column(1)).to_numpy(zero_copy_only=False)) // dim
-                    flat = np.asarray(piece.column(1).flatten().to_numpy(zero_copy_only=False), np.float64).reshape(-1, dim)
-                    starts = np.cumsum(sizes) - sizes
-                    per_token = np.maximum.reduceat(matrix @ flat.T, starts, axis=1)
-                    best.add(np.add.reduceat(per_token, q_starts, axis=0), piece.column(0).to_pylist(), (lambda q: ids[q]) if exclude_self else None)
-            if d_type is not None:
-                yield from best.rows(ids, pa.array(ids).type if q_kind == "string" else pa.int32() if q_kind == "int" else pa.int64(), d_type)
-
-        part = bags.mapInArrow(run, schema)
-        out = part if out is None else out.unionByName(part)
-    return out
+    size = queries.count()
+    parts = max(1, -(-size * 2 // BLOCK_FLOATS))
+    asked = queries.select("term").distinct()
+    kept = docs.join(F.broadcast(asked) if parts == 1 else asked, "term", "left_semi")
+    q, d = term_lists(queries), term_lists(kept)
+    return block_scores(Kernel(sparse=True, digits=digits), q, d, k, exclude_self, parts, parts if parts == 1 else max(1, -(-kept.count() * 2 // BLOCK_FLOATS)))
+
+
+def hybrid_topk(queries: DataFrame, docs: DataFrame, query_terms: DataFrame, doc_terms: DataFrame, k: int, alpha: float = 0.3, exclude_self: bool = False, dim: int = 64) -> DataFrame:
+    """The ``k`` best per query and task by dense + ``alpha`` * sparse: vectors ``(id, vec)`` and postings ``(id, term, weight)`` of either side.
+
+    Items without a vector take no part, without terms the sparse part is 0. Both products are made block
+    by block and ranked there; no pair is written that isn't among the best.
+    """
+    q, d = (v.select("id", F.col("vec").alias("flat")).join(term_lists(t), "id", "left") for v, t in ((queries, query_terms), (docs, doc_terms)))
+    d = d.select("id", "flat", *[F.coalesce(c, F.array().cast(d.schema[c].dataType)).alias(c) for c in ("terms", "weights")])
+    q = q.select("id", "flat", *[F.coalesce(c, F.array().cast(q.schema[c].dataType)).alias(c) for c in ("terms", "weights")])
+    return _in_blocks(Kernel(dim, True, alpha), q, d, k, exclude_self, q, dim + 64)
 
 
 def maxsim_relational(queries: DataFrame, docs: DataFrame, pairs: DataFrame) -> DataFrame:
@@ -160,6 +257,22 @@ def maxsim_relational(queries: DataFrame, docs: DataFrame, pairs: DataFrame) ->
     return best.groupBy("query_id", "doc_id").agg(F.round(F.sum("p"), 6).alias("score"))
 
 
+def dense_relational(queries: DataFrame, docs: DataFrame, pairs: DataFrame, digits: int = 6) -> DataFrame:
+    """Dot products of the listed pairs."""
+    from polyvec.functions.vectors import dot
+
+    q, d = queries.select(F.col("id").alias("query_id"), F.col("vec").alias("q_vec")), docs.select(F.col("id").alias("doc_id"), F.col("vec").alias("d_vec"))
+    both = pairs.select("query_id", "doc_id").join(d, "doc_id").join(q, "query_id")
+    return both.select("query_id", "doc_id", F.round(dot(F.col("q_vec"), F.col("d_vec")), digits).alias("score"))
+
+
+def sparse_relational(queries: DataFrame, docs: DataFrame, pairs: DataFrame, digits: int = 6) -> DataFrame:
+    """Sparse products of the listed pairs; those that share no term give no row. A pair meets the terms of its two items only."""
+    q = pairs.select("query_id", "doc_id").join(queries.select(F.col("id").alias("query_id"), "term", F.col("weight").alias("q_weight")), "query_id")
+    both = q.join(docs.select(F.col("id").alias("doc_id"), "term", F.col("weight").alias("d_weight")), ["doc_id", "term"])
+    return both.groupBy("query_id", "doc_id").agg(F.round(F.sum(F.col("q_weight") * F.col("d_weight")), digits).alias("score"))
+
+
 def maxsim_pair(query_vecs, doc_vecs):
     """MaxSim of two arrays of vectors, as one column expression."""
     from polyvec.functions.vectors import dot
@@ -186,17 +299,9 @@ def postings_read(queries: DataFrame, docs: DataFrame) -> DataFrame:
 
 
 def running_offsets(lengths: DataFrame, partitions: int | None = None) -> DataFrame:
-    """``(id, len)`` with ``start``, the sum of ``len`` over all smaller ids.
-
-    Ids are range-partitioned; each partition sums up its own, and the totals of those before it are added.
-    """
-    ranged = lengths.repartitionByRange(partitions, "id") if partitions else lengths.repartitionByRange("id")
-    parts = checkpoint(ranged.select("id", "len", F.spark_partition_id().alias("part")))  # the same parts both times
-    earlier = Window.rowsBetween(Window.unboundedPreceding, -1)
-    totals = parts.groupBy("part").agg(F.sum("len").alias("total"))
-    before = totals.select("part", F.coalesce(F.sum("total").over(earlier.orderBy("part")), F.lit(0)).alias("before"))
-    within = F.coalesce(F.sum("len").over(earlier.partitionBy("part").orderBy("id")), F.lit(0))
-    return parts.withColumn("within", within).join(F.broadcast(before), "part").select("id", "len", (F.col("within") + F.col("before")).alias("start"))
+    """``(id, len)`` with ``start``, the sum of ``len`` over all smaller ids."""
+    rows = running(lengths.select("id", "len"), [F.col("id")], ["len"], partitions=partitions)
+    return rows.select("id", "len", (F.col("len_upto") - F.col("len")).alias("start"))
 
 
 def expand_ranges(ranges: DataFrame) -> DataFrame:

@@ -6,10 +6,12 @@ import math
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from polyvec.operators.encode import FACTOR, MODULUS, START
+from polyvec.operators.ordered import if_few, percentiles, running
 
 
 def deltas(cand: DataFrame, base: DataFrame, metric: str, k: int) -> DataFrame:
@@ -25,12 +27,18 @@ def paired_summary(delta: DataFrame, near: float = 1e-9) -> DataFrame:
     return delta.agg(F.count(F.lit(1)).alias("n"), F.avg(d).alias("mean_delta"), F.count_if(d > near).alias("wins"), F.count_if(F.abs(d) <= near).alias("ties"), F.count_if(d < -near).alias("losses"))
 
 
+VALUES = 4_000_000  # differences that are broadcast, 8 bytes each
+
+
 def bootstrap_means(delta: DataFrame, resamples: int, seed: int = 0) -> DataFrame:
     """``(b, mean)``: means of resamples, drawn by hashed place so that any engine draws the same.
 
-    Places times queries rows; one value a query, so queries times resamples, summed before the shuffle.
+    Up to ``VALUES`` differences are broadcast and each task draws its share of the resamples from them.
+    More are drawn as rows, queries times resamples, and summed before the shuffle.
     """
-    placed = delta.withColumn("place", F.row_number().over(Window.orderBy("query_id")) - 1)  # one row a query
+    if delta.limit(VALUES + 1).count() <= VALUES:
+        return _drawn_in_blocks(delta, resamples, seed)
+    placed = running(delta, [F.col("query_id")]).withColumn("place", F.col("place") - 1)
     n = delta.agg(F.count(F.lit(1)).alias("n"))
     draws = placed.select("place").crossJoin(F.broadcast(n)).select("place", "n", F.explode(F.sequence(F.lit(0), F.lit(resamples - 1))).alias("b"))
     x = (F.col("b").cast("bigint") * 1_000_003 + F.col("place") + seed * 7919 + 1) * START % MODULUS
@@ -38,6 +46,23 @@ def bootstrap_means(delta: DataFrame, resamples: int, seed: int = 0) -> DataFram
     return picked.join(F.broadcast(placed.select(F.col("place").alias("pick"), "delta")), "pick").groupBy("b").agg(F.avg("delta").alias("mean"))
 
 
+def _drawn_in_blocks(delta: DataFrame, resamples: int, seed: int) -> DataFrame:
+    values = delta.orderBy("query_id").select("delta").toArrow().column(0).to_numpy()
+    held = delta.sparkSession.sparkContext.broadcast(values)
+
+    def run(batches):
+        values = held.value
+        n = np.int64(len(values))
+        place = np.arange(len(values), dtype=np.int64)
+        for batch in batches:
+            if n:
+                means = [float(values[((b * 1_000_003 + place + seed * 7919 + 1) * START % MODULUS * FACTOR % MODULUS) % n].mean()) for b in batch.column(0).to_pylist()]
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(means, pa.float64())], names=["b", "mean"])
+
+    spark = delta.sparkSession
+    return spark.range(resamples, numPartitions=max(1, min(resamples // 100, 4 * spark.sparkContext.defaultParallelism))).mapInArrow(run, "b bigint, mean double")
+
+
 def bootstrap_interval(delta: DataFrame, resamples: int = 1000, seed: int = 0) -> DataFrame:
     """``(low, high)``: 2.5 and 97.5 percentiles, linear, of the resampled means."""
     means = bootstrap_means(delta, resamples, seed)
@@ -48,6 +73,9 @@ def average_ranks(df: DataFrame, value: str, by: list[str] | None = None, name:
     """Ranks from 1 with ties averaged. Values are counted first, so equal ones meet before the window."""
     by = by or []
     counts = df.groupBy(*by, value).agg(F.count(F.lit(1)).alias("_n"))
+    if not by:
+        ranked = running(counts, [F.col(value)], ["_n"]).select(value, (F.col("_n_upto") - (F.col("_n") - 1) / 2.0).alias(name))
+        return df.join(ranked, value)
     w = Window.partitionBy(*by).orderBy(value)
     ranked = counts.withColumn(name, F.sum("_n").over(w.rowsBetween(Window.unboundedPreceding, 0)) - (F.col("_n") - 1) / 2.0)
     return df.join(ranked.drop("_n"), [*by, value])
@@ -93,10 +121,11 @@ def fidelity(cand: DataFrame, base: DataFrame, depth: int = 10) -> DataFrame:
 
 
 def pareto(settings: DataFrame, cost: str, value: str) -> DataFrame:
-    """Settings that no cheaper or equally cheap one matches. One row a setting, so the window is small."""
-    before = Window.orderBy(cost, F.col(value).desc()).rowsBetween(Window.unboundedPreceding, -1)
-    best = settings.withColumn("_best", F.max(value).over(before))
-    return best.where(F.col("_best").isNull() | (F.col(value) > F.col("_best"))).drop("_best")
+    """Settings that no cheaper or equally cheap one matches; of equal ones none is left out for the other."""
+    points = settings.select(cost, value).distinct()
+    best = running(points, [F.col(cost), F.col(value).desc()], largest=[value])
+    kept = best.where(F.col(f"{value}_before").isNull() | (F.col(value) > F.col(f"{value}_before"))).select(F.col(cost).alias("_c"), F.col(value).alias("_v"))
+    return settings.join(if_few(kept), (F.col(cost) == F.col("_c")) & (F.col(value) == F.col("_v"))).drop("_c", "_v")
 
 
 def best_within(settings: DataFrame, by: list[str], cost: str, limits: list[float], value: str, tie: str) -> DataFrame:
@@ -129,8 +158,7 @@ def dispersion(values: DataFrame, by: list[str], value: str) -> DataFrame:
 
 def latency_summary(log: DataFrame, by: list[str], value: str) -> DataFrame:
     """``(by, n, median, p95)``, exact and linear; null and NaN times are left out."""
-    good = log.where(F.col(value).isNotNull() & ~F.isnan(value))
-    return good.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.median(value).alias("median"), F.percentile(value, F.lit(0.95)).alias("p95"))
+    return percentiles(log, by, value, {"median": 0.5, "p95": 0.95})
 
 
 def latency_probe(run, n: int, items: int, warm: int = 1) -> float:

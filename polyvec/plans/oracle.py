@@ -194,6 +194,7 @@ QUERIES: dict[str, str] = {
     "muvera_fde_queries": "select id, rep, bucket, dim, round(value, 6) + 0.0 as value from FQ",
     "muvera_topk": _top(f"({_product('FQT', 'FDT')})", 10),
     "bm25_terms": "select id, term, tf, length::bigint as length from W",
+    "bm25_from_segments": "select id, term, round(weight, 6) + 0.0 as weight from BI",
     "bm25_index": "select id, term, round(weight, 6) + 0.0 as weight from BI",
     "bm25_topk": "select * from BR",
     "bm25_nostop": _top(f"({_product('QTA', 'BA')})", 10),
@@ -253,7 +254,7 @@ QUERIES: dict[str, str] = {
     "cost_model": "select query_id, count(*) as pairs, sum(n_tokens)::bigint as tokens, round(sum(2 * 567e6::double * n_tokens + 4.0::double * 24 * 1024 * n_tokens * n_tokens) / 1e12, 6) as tflops, round(sum(n_tokens) * 0.042::double / 1e6, 9) as price from PS where n_tokens is not null group by query_id",
     "storage_bytes": "select count(*) as items, coalesce(sum(octet_length(encode(text))), 0)::bigint as text_bytes from D",
     "judged_queries": "select query_id, dataset, split from Q where query_id in (select query_id from J)",
-    "corpus_ranges": "select id, unnest(range(start, start + len)) as value from (select id, len, coalesce(sum(len) over (partition by substr(id, 1, 3) order by id rows between unbounded preceding and 1 preceding), 0)::bigint as start from (select id, count(*) as len from TB group by id))",
+    "corpus_ranges": "select id, unnest(range(start, start + len)) as value from (select id, len, coalesce(sum(len) over (order by id rows between unbounded preceding and 1 preceding), 0)::bigint as start from (select id, count(*) as len from TB group by id))",
 }
 
 

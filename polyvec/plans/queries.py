@@ -11,8 +11,10 @@ from pyspark.sql import functions as F
 from polyvec.functions import text as T
 from polyvec.functions.vectors import dot
 from polyvec.operators import encode, metrics, rank, router, scorers, scoring, stats
-from polyvec.plans.shared import checkpoint
+from polyvec.operators.ordered import percentiles
+from polyvec.plans.shared import checkpoint, scratch
 from polyvec.sources import tables as S
+from polyvec.streaming import segments
 
 # The settings of the queries; the SQL twins use the same.
 WIDTH, KEEP, REPS = 64, 4, 2
@@ -68,8 +70,7 @@ def _smve_run(spark: SparkSession, d: str, k: int, reps: int = 1, mean: list[flo
     q, t = S.query_bags(spark, d), S.token_bags(spark, d)
     if mean is not None:
         q, t = encode.centred(q, mean), encode.centred(t, mean)
-    scores = scoring.sparse_scores(encode.smve_encode(q, WIDTH, KEEP, reps, "query"), encode.smve_encode(t, WIDTH, KEEP, reps))
-    return rank.top_k(scores, k)
+    return rank.top_k(scoring.sparse_topk(encode.smve_encode(q, WIDTH, KEEP, reps, "query"), encode.smve_encode(t, WIDTH, KEEP, reps), k), k)
 
 
 def _reranked(spark: SparkSession, d: str, keep_tail: bool) -> DataFrame:
@@ -141,7 +142,7 @@ def muvera_fde_queries(spark: SparkSession, d: str) -> DataFrame:
 def muvera_topk(spark: SparkSession, d: str) -> DataFrame:
     q = encode.fde_terms(encode.fde_encode(S.query_bags(spark, d), REPS, BITS, PROJ, "query"), BITS, PROJ)
     t = encode.fde_terms(encode.fde_encode(S.token_bags(spark, d), REPS, BITS, PROJ), BITS, PROJ)
-    return rank.top_k(scoring.sparse_scores(q, t), 10)
+    return rank.top_k(scoring.sparse_topk(q, t, 10), 10)
 
 
 # --- BM25 and lexical
@@ -159,8 +160,9 @@ def _bm25_scores(spark: SparkSession, d: str, stop: tuple[str, ...] = T.STOP_WOR
     return scoring.sparse_scores(encode.bm25_queries(_asked(spark, d), stop, stemmed), encode.bm25_index(_texts(spark, d), stop_words=stop, stemmed=stemmed))
 
 
-def _bm25_run(spark: SparkSession, d: str, k: int = DEPTH) -> DataFrame:
-    return rank.top_k(_bm25_scores(spark, d), k)
+def _bm25_run(spark: SparkSession, d: str, k: int = DEPTH, stop: tuple[str, ...] = T.STOP_WORDS, stemmed: bool = False) -> DataFrame:
+    index = encode.bm25_index(_texts(spark, d), stop_words=stop, stemmed=stemmed)
+    return rank.top_k(scoring.sparse_topk(encode.bm25_queries(_asked(spark, d), stop, stemmed), index, k), k)
 
 
 def _lex_docs(spark: SparkSession, d: str) -> DataFrame:
@@ -172,7 +174,7 @@ def _lex_scores(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _lex_run(spark: SparkSession, d: str, k: int = DEPTH) -> DataFrame:
-    return rank.top_k(_lex_scores(spark, d), k)
+    return rank.top_k(scoring.sparse_topk(encode.bm25_queries(_asked(spark, d)), _lex_docs(spark, d), k), k)
 
 
 def bm25_terms(spark: SparkSession, d: str) -> DataFrame:
@@ -188,22 +190,31 @@ def bm25_topk(spark: SparkSession, d: str) -> DataFrame:
 
 
 def bm25_nostop(spark: SparkSession, d: str) -> DataFrame:
-    return rank.top_k(_bm25_scores(spark, d, ()), 10)
+    return _bm25_run(spark, d, 10, ())
 
 
 def bm25_stemmed(spark: SparkSession, d: str) -> DataFrame:
-    return rank.top_k(_bm25_scores(spark, d, stemmed=True), 10)
+    return _bm25_run(spark, d, 10, stemmed=True)
 
 
 def lexical_topk(spark: SparkSession, d: str) -> DataFrame:
     w = S.sparse_weights(spark, d)
-    return rank.top_k(scoring.sparse_scores(w, w, exclude_self=True), 10)
+    return rank.top_k(scoring.sparse_topk(w, w, 10, exclude_self=True), 10)
 
 
 def postings_read(spark: SparkSession, d: str) -> DataFrame:
     return scoring.postings_read(encode.bm25_queries(_asked(spark, d)), encode.bm25_index(_texts(spark, d)))
 
 
+def bm25_from_segments(spark: SparkSession, d: str) -> DataFrame:
+    """The index from counts in two segments, of which the second replaces what the first has of the same documents."""
+    texts, path = _texts(spark, d), scratch(spark, "segments")
+    late = F.pmod(F.xxhash64("id"), F.lit(3)) == 0
+    segments.write_segment(texts.withColumn("text", F.when(late, F.lit("an older text")).otherwise(F.col("text"))), path, 0)
+    segments.write_segment(texts.where(late), path, 1)
+    return _rounded(segments.segment_weights(spark, path), "weight")
+
+
 def index_size(spark: SparkSession, d: str) -> DataFrame:
     texts = _texts(spark, d)
     return encode.index_size(encode.term_frequencies(texts), texts.count())
@@ -218,14 +229,9 @@ def nnz_stats(spark: SparkSession, d: str) -> DataFrame:
 # --- fusion
 
 
-def _dense_docs(spark: SparkSession, d: str) -> DataFrame:
-    v = S.dense_vectors(spark, d)
-    return scoring.dense_scores(v, v, exclude_self=True, dim=32)
-
-
 def _hybrid_run(spark: SparkSession, d: str, k: int) -> DataFrame:
-    w = S.sparse_weights(spark, d)
-    return rank.top_k(scoring.hybrid(_dense_docs(spark, d), scoring.sparse_scores(w, w, exclude_self=True), ALPHA), k)
+    v, w = S.dense_vectors(spark, d), S.sparse_weights(spark, d)
+    return rank.top_k(scoring.hybrid_topk(v, v, w, w, k, ALPHA, exclude_self=True, dim=32), k)
 
 
 def hybrid_topk(spark: SparkSession, d: str) -> DataFrame:
@@ -233,12 +239,11 @@ def hybrid_topk(spark: SparkSession, d: str) -> DataFrame:
 
 
 def hybrid_three_way(spark: SparkSession, d: str) -> DataFrame:
-    """0.4 dense + 0.2 sparse + 0.4 MaxSim on the hybrid's first 20."""
-    run = _hybrid_run(spark, d, 20).select("query_id", "doc_id")
-    w, bags = S.sparse_weights(spark, d), S.token_bags(spark, d)
-    dense = _dense_docs(spark, d).join(run, ["query_id", "doc_id"], "left_semi")
-    fused = scoring.weighted_fusion([(0.4, dense), (0.2, scoring.sparse_scores(w, w, exclude_self=True)), (0.4, scoring.maxsim_relational(bags, bags, run))])
-    return rank.top_k(fused, 10)
+    """0.4 dense + 0.2 sparse + 0.4 MaxSim on the hybrid's first 20, each score of these pairs only."""
+    run = checkpoint(_hybrid_run(spark, d, 20).select("query_id", "doc_id"))
+    v, w, bags = S.dense_vectors(spark, d), S.sparse_weights(spark, d), S.token_bags(spark, d)
+    parts = [(0.4, scoring.dense_relational(v, v, run)), (0.2, scoring.sparse_relational(w, w, run)), (0.4, scoring.maxsim_relational(bags, bags, run))]
+    return rank.top_k(scoring.weighted_fusion(parts), 10)
 
 
 def _keyed(df: DataFrame) -> DataFrame:
@@ -350,9 +355,9 @@ def _settings(spark: SparkSession, d: str) -> DataFrame:
     """One row a method of the log: its parameters, median time, mean postings; the log's spellings folded."""
     log = S.read_table(spark, d, "latency_log").where("method is not null and total_ms > 0 and not isnan(total_ms)")
     number = lambda p: F.regexp_extract("method", p, 1).try_cast("bigint")
-    one = log.select(F.lower(F.trim("method")).alias("method"), "total_ms", "postings_read", "run_day").groupBy("method").agg(
-        F.count(F.lit(1)).alias("n"), F.median("total_ms").alias("cost"), F.avg("postings_read").alias("value")
-    )
+    log = log.select(F.lower(F.trim("method")).alias("method"), "total_ms", "postings_read")
+    means = log.groupBy("method").agg(F.avg("postings_read").alias("value"))
+    one = percentiles(log, ["method"], "total_ms", {"cost": 0.5}).join(means, "method")
     return one.select(
         "method", F.split("method", " ")[0].alias("family"), number("w=(\\d+)").alias("w"), number("k=(\\d+)").alias("k"), number("r=(\\d+)").alias("reps"),
         F.col("method").contains("center").alias("center"), "n", _r("cost").alias("cost"), _r("value").alias("value"),
@@ -605,7 +610,7 @@ def corpus_ranges(spark: SparkSession, d: str) -> DataFrame:
 _ALL = (
     dense_topk, dense_topk_self_excluded, maxsim_exhaustive, maxsim_topk, maxsim_rerank_tail, maxsim_rerank_truncate, token_mean, centered_tokens,
     smve_encode_docs, smve_encode_queries, smve_topk, smve_reps, smve_centered, muvera_codes, muvera_fde_docs, muvera_fde_queries, muvera_topk,
-    bm25_terms, bm25_index, bm25_topk, bm25_nostop, bm25_stemmed, lexical_topk, postings_read, index_size, nnz_stats, hybrid_topk, hybrid_three_way, alpha_sensitivity,
+    bm25_terms, bm25_index, bm25_from_segments, bm25_topk, bm25_nostop, bm25_stemmed, lexical_topk, postings_read, index_size, nnz_stats, hybrid_topk, hybrid_three_way, alpha_sensitivity,
     eval_per_query, eval_mean, eval_wide, metrics_at_k, first_relevant, first_relevant_profile, score_separation, ndcg_histogram, dataset_means,
     run_fidelity, paired_delta, paired_summary, paired_bootstrap, wilcoxon, wilcoxon_p, experiment_table, experiment_labels, pareto_frontier, equal_budget_best, seed_spread,
     reps_vs_single, cost_comparison, latency_summary, pair_levels, pair_mechanism, rank_correlation,

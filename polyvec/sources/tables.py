@@ -147,20 +147,27 @@ def read_typed_csv(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return spark.read.schema(schema).csv(path, header=True)
 
 
-def read_cache(spark: SparkSession, path: str, schema: str, key: str = "key") -> DataFrame:
-    """A cache of JSON lines; of several records of a key the one written last (file, then place in it) counts."""
-    rows = spark.read.schema(schema).json(path).withColumn("_at", F.struct(F.input_file_name(), F.monotonically_increasing_id()))
+def read_cache(spark: SparkSession, path: str, schema: str, key: str = "key", form: str = "json") -> DataFrame:
+    """A cache of JSON lines, or of Parquet; of several records of a key the one written last counts.
+
+    ``append_missing`` numbers its appends in ``_written``; a higher number is later. Records without
+    one, or of one append, go by file, then place in it.
+    """
+    rows = spark.read.schema(f"{schema}, _written bigint").format(form).load(path)
+    rows = rows.withColumn("_at", F.struct(F.coalesce("_written", F.lit(-1)), F.input_file_name(), F.monotonically_increasing_id())).drop("_written")
     fields = [F.col(c) for c in rows.columns if c != "_at"]
     return rows.groupBy(F.col(key).alias("_key")).agg(F.max_by(F.struct(*fields), F.col("_at")).alias("r")).select("r.*")
 
 
-def append_missing(todo: DataFrame, cache_path: str, keys: list[str], score) -> None:
-    """Score what the cache lacks and append it; a second call finds nothing to do."""
-    spark = todo.sparkSession
+def append_missing(todo: DataFrame, cache_path: str, keys: list[str], score, form: str = "parquet") -> None:
+    """Score what the cache lacks and append it with the number of the append; a second call finds nothing to do."""
+    left, number = todo, 0
     try:
-        left = todo.join(spark.read.parquet(cache_path).select(*keys), keys, "left_anti")
+        kinds = ", ".join(f"{k} {todo.schema[k].dataType.simpleString()}" for k in keys)
+        done = todo.sparkSession.read.schema(f"{kinds}, _written bigint").format(form).load(cache_path)
+        number = done.agg(F.coalesce(F.max("_written"), F.lit(-1)) + 1).first()[0]
+        left = todo.join(done.select(*keys), keys, "left_anti")
     except Exception as e:  # noqa: BLE001
         if "PATH_NOT_FOUND" not in str(e):
             raise
-        left = todo
-    score(left).write.mode("append").parquet(cache_path)
+    score(left).withColumn("_written", F.lit(number).cast("bigint")).write.mode("append").format(form).save(cache_path)
