@@ -273,7 +273,7 @@ def test_pipeline_and_report(spark):
             pipeline.parse(bad)
     s = spark.createDataFrame([("q", d, x) for d, x in zip("abc", (3.0, 2.0, 1.0))], "query_id string, doc_id string, score double")
     run, per = pipeline.search_and_evaluate("one > two@2", {"one": lambda: s, "two": lambda: s.withColumn("score", -F.col("score"))}, spark.createDataFrame([("q", "b", 1)], "query_id string, doc_id string, rel int"), (1,))
-    assert [r["doc_id"] for r in run.orderBy("rank").collect()] == ["a"] and per.count() == 1
+    assert [r["doc_id"] for r in run.orderBy("rank").collect()] == ["b"] and per.count() == 1  # both are reranked, one is kept
     assert len(list(pipeline.grid(lambda x: x["k"] < x["w"], w=[4, 8], k=[4, 6]))) == 2
     assert pipeline.run_name("smve", w=64, k=4, center=True, reps=None) == "smve_w64_k4_center"
     assert pipeline.markdown(spark.createDataFrame([(1, 0.5)], "a int, b double")) == "| a | b |\n|---|---|\n| 1 | 0.5000 |"
