@@ -5,9 +5,10 @@ Every judged query counts; one that the run lacks has 0. Unjudged documents have
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+# Cutoffs and names of the metrics.
 KS = (1, 3, 5, 10, 20, 50, 100)
 METRICS = ("ndcg", "precision", "recall", "mrr", "map")
 
@@ -43,6 +44,20 @@ def evaluate(run: DataFrame, qrels: DataFrame, ks: tuple[int, ...] = KS) -> Data
     )
 
 
+def named(per_query: DataFrame, name: str) -> DataFrame:
+    """``(query_id, value)`` of a metric by its name, as ``ndcg@10``; an unknown name is an error."""
+    metric, _, k = name.partition("@")
+    if metric not in METRICS or not k.isdigit():
+        raise ValueError(f"no such metric: {name!r}; known are {', '.join(METRICS)} with a cutoff, as ndcg@10")
+    return per_query.where(F.col("k") == int(k)).select("query_id", F.col(metric).alias("value"))
+
+
+def ndcg_of_gains(gains: Column, ideal: Column) -> Column:
+    """nDCG of an array of gains in ranked order beside an explicit ideal array; null if either is null or the ideal has no gain."""
+    dcg = lambda a: F.aggregate(F.transform(a, lambda g, i: g.cast("double") / F.log2(i + F.lit(2.0))), F.lit(0.0), lambda s, x: s + x)
+    return F.when(dcg(ideal) > 0, dcg(gains) / dcg(ideal))
+
+
 def long_form(per_query: DataFrame) -> DataFrame:
     """``(query_id, metric, k, value)``."""
     parts = F.array(*[F.struct(F.lit(m).alias("metric"), F.col(m).alias("value")) for m in METRICS])

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from polyvec.operators.ordered import running
+
 
 def top_k(scores: DataFrame, k: int, by: tuple[str, ...] = ("query_id",)) -> DataFrame:
     """``scores`` with ``rank`` from 1 to ``k`` per ``by``. Spark keeps k rows a group and task before the shuffle."""
@@ -38,8 +40,12 @@ def judged_only(queries: DataFrame, qrels: DataFrame) -> DataFrame:
 
 
 def ordered_subset(bags: DataFrame, wanted: DataFrame) -> DataFrame:
-    """The bags of ``wanted`` ``(id, ord)``, with their place."""
-    return bags.join(wanted, "id")
+    """``(ord, id, pos, vec, row)``: the vectors of the bags ``wanted`` ``(id, ord)`` one after the other, ``row`` their place from 0.
+
+    An id listed twice comes twice; one without a bag gives nothing.
+    """
+    rows = bags.select("id", "pos", "vec").join(wanted.select("id", "ord"), "id")
+    return running(rows, [F.col("ord"), F.col("pos")]).select("ord", "id", "pos", "vec", (F.col("place") - 1).alias("row"))
 
 
 def first_n(df: DataFrame, n: int, by: list[str], order: list[Column]) -> DataFrame:

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from polyvec.operators import stats
 from polyvec.operators.ordered import running
 from polyvec.operators.stats import average_ranks
 
@@ -83,6 +86,65 @@ def roc_auc(scored: DataFrame) -> DataFrame:
     return sums.select(F.when((F.col("p") > 0) & (F.col("n") > 0), (F.col("r") - F.col("p") * (F.col("p") + 1) / 2) / (F.col("p") * F.col("n"))).alias("auc"))
 
 
+def auc_resamples(scored: DataFrame, scores: list[str], resamples: int = 5000, seed: int = 0) -> DataFrame:
+    """``(b, <scores>)``: the AUC of each score column of ``(query_id, y, <scores>)`` on resamples, the same queries for all; null where a resample has one class.
+
+    One row a query: up to ``stats.VALUES`` rows are broadcast, more are refused rather than sampled.
+    """
+    scores = list(dict.fromkeys(scores))
+    if scored.limit(stats.VALUES + 1).count() > stats.VALUES:
+        raise ValueError(f"more than {stats.VALUES} queries")
+    rows = scored.orderBy("query_id").select(F.col("y").cast("double").alias("y"), *[F.col(s).cast("double").alias(s) for s in scores]).toArrow()
+    held = scored.sparkSession.sparkContext.broadcast({c: rows.column(c).to_numpy() for c in rows.column_names})
+
+    def auc(y: np.ndarray, s: np.ndarray) -> float | None:
+        p = int(y.sum())
+        if not 0 < p < len(y):
+            return None
+        values, at, counts = np.unique(s, return_inverse=True, return_counts=True)
+        ranks = (np.cumsum(counts) - (counts - 1) / 2)[at]
+        return float((ranks[y > 0].sum() - p * (p + 1) / 2) / (p * (len(y) - p)))
+
+    def run(batches):
+        table = held.value
+        n = len(table["y"])
+        for batch in batches:
+            found: list[list] = [[] for _ in scores]
+            for b in batch.column(0).to_pylist():
+                pick = np.random.default_rng((seed, b)).integers(0, max(n, 1), n)
+                for out, s in zip(found, scores):
+                    out.append(auc(table["y"][pick], table[s][pick]))
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(f, pa.float64()) for f in found)], names=["b", *scores])
+
+    spark = scored.sparkSession
+    parts = max(1, min(resamples // 100, 4 * spark.sparkContext.defaultParallelism))
+    return spark.range(resamples, numPartitions=parts).mapInArrow(run, "b bigint, " + ", ".join(f"`{s}` double" for s in scores))
+
+
+def auc_interval(scored: DataFrame, score: str = "score", resamples: int = 5000, seed: int = 0) -> DataFrame:
+    """``(low, high)``: 2.5 and 97.5 percentiles of the resampled AUC."""
+    means = auc_resamples(scored, [score], resamples, seed)
+    return means.agg(F.percentile(score, F.lit(0.025)).alias("low"), F.percentile(score, F.lit(0.975)).alias("high"))
+
+
+def paired_auc(scored: DataFrame, a: str, b: str, resamples: int = 5000, seed: int = 0) -> DataFrame:
+    """``(delta, low, high, p)`` of the AUC of ``a`` less that of ``b`` on the same resamples; p two-sided, twice the lesser share on either side of 0."""
+    d = auc_resamples(scored, [a, b], resamples, seed).select((F.col(a) - F.col(b)).alias("d")).where("d is not null")
+    side = F.least(F.avg((F.col("d") <= 0).cast("double")), F.avg((F.col("d") >= 0).cast("double")))
+    return d.agg(F.avg("d").alias("delta"), F.percentile("d", F.lit(0.025)).alias("low"), F.percentile("d", F.lit(0.975)).alias("high"), F.least(F.lit(1.0), 2 * side).alias("p"))
+
+
+def transfer(df: DataFrame, columns: list[str], label: str, origin: str, value: str, model: str = "logistic") -> DataFrame:
+    """``df`` with ``p`` by a model fitted on the rows whose ``origin`` is ``value``; those rows are left out."""
+    fitted = fit_model(df.where(F.col(origin) == value), columns, label, model)
+    return predict(fitted, df.where(F.col(origin) != value))
+
+
+def stacked(df: DataFrame, columns: list[str], answers: list[str], label: str, model: str = "logistic") -> DataFrame:
+    """``out_of_fold`` over the features and the answers of another router as further columns."""
+    return out_of_fold(df, [*columns, *answers], label, model)
+
+
 def reliability(scored: DataFrame, bins: int = 10, least: int = 1) -> DataFrame:
     """``(bin, n, confidence, accuracy)`` of ``(p, y)`` in equal bins with at least ``least`` rows."""
     at = F.least(F.floor(F.col("p") * bins), F.lit(bins - 1)).cast("bigint")

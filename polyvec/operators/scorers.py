@@ -40,6 +40,41 @@ def request_key(*parts: Column) -> Column:
     return F.sha2(F.to_json(F.array(*[p.cast("string") for p in parts])), 256)
 
 
+def ask_missing(requests: DataFrame, cache: str, answer: Callable[[list[str]], list[float]], batch: int = 64) -> DataFrame:
+    """``(key, value, latency_ms)`` of ``(key, prompt)`` by any function on a list of prompts; what the cache folder has isn't asked again.
+
+    Answers are appended to the cache with the mean milliseconds of their batch, each key once however
+    often it is requested; the last written counts. Null prompts are asked as empty ones.
+    """
+    from polyvec.sources.tables import append_missing, read_cache
+
+    def ask(left: DataFrame) -> DataFrame:
+        def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            import time
+
+            for f in frames:
+                for at in range(0, len(f), batch):
+                    g = f.iloc[at : at + batch]
+                    began = time.perf_counter()
+                    values = answer(g["prompt"].fillna("").tolist())
+                    yield pd.DataFrame({"key": g["key"], "value": values, "latency_ms": (time.perf_counter() - began) * 1000 / len(g)})
+
+        return left.mapInPandas(run, "key string, value double, latency_ms double")
+
+    append_missing(requests.select("key", "prompt").dropDuplicates(["key"]), cache, ["key"], ask)
+    return read_cache(requests.sparkSession, cache, "key string, value double, latency_ms double", form="parquet").join(requests.select("key").distinct(), "key", "left_semi")
+
+
+def routing_question(query: Column, titles: Column) -> Column:
+    """The question whether a query needs the dear reranker: its text and the first results."""
+    return F.concat(F.lit("Query: "), F.coalesce(query, F.lit("")), F.lit("\nResults:\n"), F.array_join(F.coalesce(titles, F.array().cast("array<string>")), "\n"), F.lit("\nWould a slower reranker improve this order?"))
+
+
+def yes_no_scores(answers: DataFrame, least: float = 0.5) -> DataFrame:
+    """``(query_id, doc_id, score)`` 1 for a yes, an answer of at least ``least``, else 0."""
+    return answers.select("query_id", "doc_id", (F.coalesce(F.col("score"), F.lit(0.0)) >= least).cast("double").alias("score"))
+
+
 def choice_scores(answers: DataFrame, options: DataFrame) -> DataFrame:
     """``(query_id, doc_id, score)`` of answers ``(query_id, probs map)``: the probability of each option ``(query_id, doc_id, option)``, 0 if missing."""
     return options.join(answers, "query_id", "left").select("query_id", "doc_id", F.coalesce(F.try_element_at("probs", F.col("option")), F.lit(0.0)).alias("score"))

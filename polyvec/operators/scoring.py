@@ -92,10 +92,11 @@ def _bags(lists: pa.Array, dim: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 class Kernel:
-    """Scores of a block of queries with some documents, rounded. ``alpha``: of the sparse part where there are both."""
+    """Scores of a block of queries with some documents, rounded. ``alpha``: of the sparse part where there are both; ``levels``: scores
+    farther than ``band`` from all of them are none."""
 
-    def __init__(self, dim: int = 0, sparse: bool = False, alpha: float = 1.0, digits: int = 6) -> None:
-        self.dim, self.sparse, self.alpha, self.digits = dim, sparse, alpha, digits
+    def __init__(self, dim: int = 0, sparse: bool = False, alpha: float = 1.0, digits: int = 6, levels: tuple[float, ...] = (), band: float = 0.0) -> None:
+        self.dim, self.sparse, self.alpha, self.digits, self.levels, self.band = dim, sparse, alpha, digits, levels, band
 
     def columns(self) -> list[str]:
         return ["id", *(["flat"] if self.dim else []), *(["terms", "weights"] if self.sparse else [])]
@@ -113,6 +114,9 @@ class Kernel:
         if self.sparse:
             lex = self._products(side, docs)
             out = lex if out is None else np.round(out + self.alpha * np.where(lex == -np.inf, 0.0, lex), 9)
+        if self.levels:
+            near = np.min([np.abs(out - x) for x in self.levels], axis=0)
+            out = np.where(near <= self.band + 1e-6, out, -np.inf)
         return out
 
     def _products(self, side: _Side, docs: pa.RecordBatch) -> np.ndarray:
@@ -203,6 +207,12 @@ def dense_scores(queries: DataFrame, docs: DataFrame, k: int | None = None, excl
     return _in_blocks(Kernel(dim, digits=digits), q, d, k, exclude_self, q, dim)
 
 
+def dense_band(vectors: DataFrame, levels: tuple[float, ...], band: float, dim: int = 64) -> DataFrame:
+    """Pairs of ``vectors``, each with each, whose dot product lies within ``band`` of a level; others don't leave the kernel."""
+    v = vectors.select("id", F.col("vec").alias("flat"))
+    return _in_blocks(Kernel(dim, levels=levels, band=band), v, v, None, True, v, dim)
+
+
 def bags(vectors: DataFrame) -> DataFrame:
     """``(id, flat)``: the vectors of each bag ``(id, pos, vec)`` in order, gathered once (bags are short)."""
     return vectors.groupBy("id").agg(F.flatten(F.transform(F.sort_array(F.collect_list(F.struct("pos", "vec"))), lambda e: e["vec"])).alias("flat"))

@@ -81,21 +81,44 @@ def average_ranks(df: DataFrame, value: str, by: list[str] | None = None, name:
     return df.join(ranked.drop("_n"), [*by, value])
 
 
+EXACT = 25  # differences up to which p is exact
+
+
+def _signed_rank_p(ranks: list[float], w_plus: float) -> float:
+    """Two-sided p over all signs: ranks (doubled, so that averaged ones are whole) are added one by one to the distribution of their sum."""
+    doubled = [round(2 * r) for r in ranks]
+    ways = np.zeros(sum(doubled) + 1)
+    ways[0] = 1
+    for r in doubled:
+        shifted = np.zeros_like(ways)
+        shifted[r:] = ways[: len(ways) - r]
+        ways = (ways + shifted) / 2
+    w = round(2 * w_plus)
+    return float(min(1.0, 2 * min(ways[: w + 1].sum(), ways[w:].sum())))
+
+
 def wilcoxon(delta: DataFrame) -> DataFrame:
-    """``(n, w_plus, w_minus, z, p)``: signed ranks of the differences other than 0, normal approximation with tie correction; p 1 if there are none."""
+    """``(n, w_plus, w_minus, z, p)``: signed ranks of the differences other than 0; p 1 if there are none.
+
+    Up to ``EXACT`` differences p is exact, averaged ranks of ties included; beyond, by the normal approximation with tie correction.
+    """
     d = delta.where(F.abs("delta") > 1e-12).withColumn("size", F.round(F.abs("delta"), 12))
     ranked = average_ranks(d, "size")
+    few = ranked.limit(EXACT + 1).agg(F.collect_list("avg_rank").alias("ranks"))
     sums = ranked.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(F.when(F.col("delta") > 0, F.col("avg_rank"))), F.lit(0.0)).alias("w_plus"), F.coalesce(F.sum(F.when(F.col("delta") < 0, F.col("avg_rank"))), F.lit(0.0)).alias("w_minus"))
     ties = d.groupBy("size").agg(F.count(F.lit(1)).alias("t")).agg(F.coalesce(F.sum(F.col("t") * F.col("t") * F.col("t") - F.col("t")), F.lit(0)).alias("ties"))
 
     @F.pandas_udf("double")
-    def two_sided(z: pd.Series) -> pd.Series:
-        return z.map(lambda v: 1.0 if v is None or math.isnan(v) else math.erfc(abs(v) / math.sqrt(2)))
+    def two_sided(z: pd.Series, w_plus: pd.Series, ranks: pd.Series) -> pd.Series:
+        normal = lambda v: 1.0 if v is None or math.isnan(v) else math.erfc(abs(v) / math.sqrt(2))
+        return pd.Series([normal(a) if r is None else _signed_rank_p(list(r), w) for a, w, r in zip(z, w_plus, ranks)])
 
     n = F.col("n")
     var = n * (n + 1) * (2 * n + 1) / 24.0 - F.col("ties") / 48.0
     z = F.when(var > 0, (F.col("w_plus") - n * (n + 1) / 4.0) / F.sqrt(var))
-    return sums.crossJoin(ties).select("n", "w_plus", "w_minus", z.alias("z")).withColumn("p", two_sided("z"))
+    rows = sums.crossJoin(ties).crossJoin(few)  # single rows
+    rows = rows.select("n", "w_plus", "w_minus", z.alias("z"), F.when(n <= EXACT, F.col("ranks")).alias("ranks"))
+    return rows.withColumn("p", two_sided("z", "w_plus", "ranks")).drop("ranks")
 
 
 def spearman(pairs: DataFrame, x: str, y: str) -> DataFrame:
@@ -150,6 +173,12 @@ def break_even(build_seconds, saved_ms):
     return build_seconds / F.greatest(F.lit(1e-9), saved_ms / 1000)
 
 
+def nearest_level(value, levels: list[float]):
+    """The level nearest a value, the lower of two as near."""
+    away = F.array(*[F.struct(F.round(F.abs(value - F.lit(x)), 6).alias("away"), F.lit(float(x)).alias("level")) for x in levels])
+    return F.array_min(away)["level"]
+
+
 def dispersion(values: DataFrame, by: list[str], value: str) -> DataFrame:
     """``(by, n, zero_share, mean, cv)``; the coefficient of variation is of the values other than 0, with population deviation."""
     v = F.when(F.col(value) != 0, F.col(value))

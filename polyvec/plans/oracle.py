@@ -258,6 +258,62 @@ QUERIES: dict[str, str] = {
 }
 
 
+PARTS |= {
+    "EL": _metrics("LR", _KS),
+    "RUNS": "select 'bm25' as run, * from EB union all select 'lexical', * from EL",
+    "PQ": "select run, query_id, k, metric, value from RUNS unpivot (value for metric in (ndcg, precision, recall, mrr, map))",
+    "OVL": "select r.query_id, r.doc_id, r.rank, round(coalesce(count(w.term)::double / nullif(count(t.term), 0), 0), 6) as score from BR r left join QT t on t.id = r.query_id left join W w on w.id = r.doc_id and w.term = t.term where r.rank <= 20 group by all",
+    "MD": "select dataset, method, round(avg(ndcg), 6) as value from (" + " union all ".join(f"select '{m}' as method, query_id, ndcg from ({t})" for m, t in (("bm25", "select * from EB10"), ("lexical", "select * from EL10"), ("bm25 > lexical@10", _metrics("RB", "[10]")), ("bm25 > stored@20", _metrics("RE", "[10]")))) + ") join Q using (query_id) group by all",
+}
+
+
+def _rule_auc(rule: str, column: str) -> str:
+    ranked = _avg_rank(f"(select -{column} as score, y from FE join LA using (query_id))", "score", "r")
+    return f"select '{rule}' as rule, round((sum(r) filter (y = 1) - p * (p + 1) / 2) / (p * n), 6) as auc from ({ranked}), (select count(*) filter (y = 1)::double as p, count(*) filter (y = 0)::double as n from FE join LA using (query_id)) group by p, n"
+
+
+def _median(column: str) -> str:
+    return f"select method, '{column}' as part, count(*) as n, round(median({column}), 6) + 0.0 as median from latency_log where method is not null and {column} is not null and not isnan({column}) group by method"
+
+
+def _at_depth(depth: int) -> str:
+    flops = "2 * 567e6::double * n_tokens + 4.0::double * 24 * 1024 * n_tokens::double * n_tokens"
+    return f"""select {depth}::bigint as depth, (select round(avg(ndcg), 6) from ({_metrics(f"({_rerank('BR', 'PS', depth)})", "[10]")})) as ndcg,
+      count(*) as pairs, round(coalesce(sum({flops}), 0) / 1e12, 6) as tflops, round(coalesce(sum(n_tokens), 0) * 0.042::double / 1e6, 9) as price from BR join PS p using (query_id, doc_id) where rank <= {depth}"""
+
+
+QUERIES |= {
+    "saved_summaries": "select run, count(distinct query_id) as n_queries, (select count(*) from D) as n_docs, metric, k, round(avg(value), 5) as value from PQ group by run, metric, k",
+    "run_comparison": """select 'lexical' as run, metric, k, count(*) as queries, round(avg(b.value), 6) as base, round(avg(l.value), 6) as value, round(avg(l.value - b.value), 6) + 0.0 as delta,
+      round(case when avg(b.value) <> 0 then (avg(l.value) / avg(b.value) - 1) * 100 end, 6) + 0.0 as change, count(*) filter (l.value - b.value > 1e-9) as wins, count(*) filter (abs(l.value - b.value) <= 1e-9) as ties, count(*) filter (l.value - b.value < -1e-9) as losses
+      from (select * from PQ where run = 'lexical') l join (select * from PQ where run = 'bm25') b using (query_id, metric, k) group by metric, k""",
+    "run_folder": "select 'bm25' as run, count(*) as lines, max(rank) as deepest from BR having count(*) > 0 union all select 'lexical', count(*), max(rank) from LR having count(*) > 0",
+    "rerank_depths": " union all ".join(_at_depth(d) for d in (5, 10, 20, 50)),
+    "first_stage_costs": f"""select query_id, round(2.0::double * 64 * docs / 1e6, 6) as dense, round((2.0::double * 64 * {WIDTH} * q_tokens + 2.0::double * q_nnz * (nnz::double / docs * docs / {WIDTH})) / 1e6, 6) as sparse, round(2.0::double * 64 * q_tokens * doc_tokens / 1e6, 6) as maxsim
+      from (select id as query_id, count(*) as q_tokens from QB group by id) join (select id as query_id, count(*) as q_nnz from SQ1 group by id) using (query_id), (select count(distinct id) as docs, count(*) as doc_tokens from TB), (select count(*) as nnz from SD1)""",
+    "cross_dataset": "select dataset, method, value, row_number() over (partition by dataset order by value desc, method) as place, round(value - b, 6) + 0.0 as headroom from MD left join (select dataset, value as b from MD where method = 'bm25') using (dataset)",
+    "fixed_settings": "select family, method, cost, value from ST where method in (select min(method) from ST group by family)",
+    "sweep_axes": "select family, array_to_string(list_sort(list_distinct(list(w))), ',') as w, array_to_string(list_sort(list_distinct(list(k))), ',') as k from ST where w is not null group by family",
+    "sweep_heat_map": "select family, w, k, round(avg(cost), 9) as cost, round(avg(cost) filter (center) - avg(cost) filter (not center), 9) + 0.0 as centring from ST where w is not null and k is not null group by family, w, k",
+    "nearest_levels": f"select level, count(*) as pairs, round(avg(score), 6) + 0.0 as mean from (select score, list_sort(list_transform({list(LEVELS)}, lambda x: {{'away': round(abs(score - x), 6), 'level': x::double}}))[1].level as level from DOT where query_id < doc_id) group by level",
+    "latency_split": " union all ".join(_median(c) for c in ("encode_ms", "score_ms", "topk_ms", "total_ms")),
+    "escalation_latency": """select budget, parallel, round(base + case when parallel then greatest(0, decision - base) else decision end + budget * extra, 6) as ms
+      from (select max(cost) filter (method = 'hybrid > maxsim@10') as base, max(cost) filter (method = 'maxsim exhaustive') as extra, max(cost) filter (method = 'bm25 index') as decision from ST), (select unnest([0.1, 0.2, 0.3])::double as budget), (select unnest([true, false]) as parallel)""",
+    "router_heuristics": " union all ".join(_rule_auc(r, c) for r, c in (("margin", "hyb_margin12"), ("jaccard", "dense_lex_jaccard10"), ("gap", "hyb_gap1_10"), ("top1", "hyb_top1"))),
+    "decision_answers": "select query_id, sha256(to_json([query_id, text])::varchar) as key, round(length(text) % 100 / 100, 2) as value from Q",
+    "yes_no_rerank": "select query_id, doc_id, row_number() over (partition by query_id order by score >= 0.5 desc, rank) as rank from OVL",
+    "routing_questions": """select query_id, sha256('Query: ' || text || chr(10) || 'Results:' || chr(10) || coalesce(titles, '') || chr(10) || 'Would a slower reranker improve this order?') as question
+      from Q left join (select query_id, string_agg(coalesce(title, ''), chr(10) order by rank) as titles from BR join D using (doc_id) where rank <= 3 group by query_id) using (query_id)""",
+    "ndcg_explicit": "select query_id, round(ndcg, 6) + 0.0 as ndcg from EB10",
+    "score_per_token": "select query_id, doc_id, round(score / q, 9) as score from BR join (select id as query_id, sum(weight) as q from QT group by id) using (query_id) where rank <= 10",
+    "bag_subset": "select id, pos as token_id, row_number() over (order by id desc, pos) - 1 as row from TB where id in (select doc_id from J)",
+    "item_lookup": "select term::bigint as term, round(weight, 6) + 0.0 as weight from SW where id = (select min(id) from SW)",
+    "bag_lookup": "select id, row_number() over (order by pos) - 1 as place, round(vec[1], 6) + 0.0 as first from TB where id = (select min(id) from TB)",
+    "topk_of_list": "select query_id, doc_id, score from PS order by score desc, doc_id limit 10",
+    "one_to_one": "select query_id, dataset, judged from Q left join (select query_id, count(*) as judged from J group by query_id) using (query_id)",
+}
+
+
 def _needs(sql: str, found: dict[str, None]) -> None:
     for name in PARTS:
         if name not in found and re.search(rf"\b{name}\b", sql):

@@ -16,7 +16,7 @@ from polyvec.plans.shared import checkpoint, scratch
 from polyvec.sources import tables as S
 from polyvec.streaming import segments
 
-# The settings of the queries; the SQL twins use the same.
+# The settings of the queries; the SQL twins use the same. The weights of ALPHAS.
 WIDTH, KEEP, REPS = 64, 4, 2
 BITS, PROJ = 3, 4
 ALPHA = 0.3
@@ -29,6 +29,7 @@ RESAMPLES = 10_000
 SURVEYED_LEVELS = (0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9)
 SURVEYED_WIDTH, SURVEYED_KEEP = 256, 8
 BUDGETS = (1, 2, 4, 8)
+SEED = 0
 BUDGETS_MS = (10.0, 30.0, 100.0, 250.0)
 
 
@@ -412,18 +413,18 @@ def latency_summary(spark: SparkSession, d: str) -> DataFrame:
 
 def pair_levels(spark: SparkSession, d: str) -> DataFrame:
     """Pairs of vectors near each cosine level, at most 1,000 a level in order of ids."""
-    return _pair_levels(spark, d, LEVELS)
+    return _pair_levels(spark, d, LEVELS, [F.col("query_id"), F.col("doc_id")])
 
 
 def pair_levels_surveyed(spark: SparkSession, d: str) -> DataFrame:
-    return _pair_levels(spark, d, SURVEYED_LEVELS)
+    """At most 1,000 pairs a level, a sample by a seeded hash of the ids."""
+    return _pair_levels(spark, d, SURVEYED_LEVELS, [F.xxhash64(F.lit(SEED), "query_id", "doc_id"), F.col("query_id"), F.col("doc_id")])
 
 
-def _pair_levels(spark: SparkSession, d: str, levels: tuple[float, ...]) -> DataFrame:
-    v = _vectors(spark, d)
-    pairs = scoring.dense_scores(v, v).where("query_id < doc_id")
+def _pair_levels(spark: SparkSession, d: str, levels: tuple[float, ...], order: list[Column]) -> DataFrame:
+    pairs = scoring.dense_band(_vectors(spark, d), levels, 0.025).where("query_id < doc_id")
     near = pairs.withColumn("level", F.explode(F.array(*[F.lit(x) for x in levels]))).where(F.abs(F.round(F.col("score") - F.col("level"), 6)) <= 0.025)
-    return rank.first_n(near, 1000, ["level"], [F.col("query_id"), F.col("doc_id")]).select("level", F.col("query_id").alias("a"), F.col("doc_id").alias("b"), F.col("score").alias("cosine"))
+    return rank.first_n(near, 1000, ["level"], order).select("level", F.col("query_id").alias("a"), F.col("doc_id").alias("b"), F.col("score").alias("cosine"))
 
 
 def _mechanism(spark: SparkSession, d: str) -> DataFrame:
@@ -538,6 +539,7 @@ def router_reliability(spark: SparkSession, d: str) -> DataFrame:
     return _rounded(router.reliability(_probabilities(spark, d), least=2), "confidence", "accuracy")
 
 
+# The names of the features. The queries of the tables are texts without vectors, so that BM25 is the dense run's stand-in.
 FEATURES = ["hyb_top1", "hyb_margin12", "hyb_gap1_10", "hyb_std10", "dense_top1", "dense_margin12", "dense_gap1_10", "lex_top1", "lex_margin12", "lex_gap1_10", "dense_lex_jaccard10", "dense_top1_in_lex10", "lex_top1_in_dense10", "hyb_top1_is_dense_top1", "q_tokens", "q_lex_terms"]
 
 

@@ -143,6 +143,15 @@ def read_summaries(spark: SparkSession, pattern: str, schema: str) -> DataFrame:
     return rows
 
 
+def merge_one_to_one(left: DataFrame, right: DataFrame, keys: list[str], how: str = "left") -> DataFrame:
+    """A join on keys that must be unique on both sides; a repeated key is an error, found by one aggregate a side."""
+    for side, df in (("left", left), ("right", right)):
+        twice = df.groupBy(*keys).count().where("count > 1").limit(1).collect()
+        if twice:
+            raise ValueError(f"{side}: more than one row of {tuple(twice[0])[:-1]}")
+    return left.join(right, keys, how)
+
+
 def read_typed_csv(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return spark.read.schema(schema).csv(path, header=True)
 
