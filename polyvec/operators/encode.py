@@ -148,6 +148,24 @@ def term_frequencies(texts: DataFrame, stop_words: tuple[str, ...] = STOP_WORDS,
     return exploded.groupBy("id", "term").agg(F.count(F.lit(1)).alias("tf"), F.first("length").alias("length"))
 
 
+def asked_counts(texts: DataFrame, terms: DataFrame, stop_words: tuple[str, ...] = STOP_WORDS, stemmed: bool = False) -> DataFrame:
+    """``(id, term, tf, length)`` of the terms of ``terms`` ``(term)`` only, which the caller has counted and which are broadcast.
+
+    All other tokens of a document are one row with a null term, a text without tokens too, so that every
+    document is there with its length, from one pass over the texts.
+    """
+    words = tokens(F.col("text"), stop_words)
+    rows = texts.select("id", (stems(words) if stemmed else words).alias("words"))
+    exploded = rows.select("id", F.size("words").alias("length"), F.explode_outer("words").alias("token"))
+    known = F.broadcast(terms.select(F.col("term").alias("token"), F.col("term")).distinct())
+    return exploded.join(known, "token", "left").groupBy("id", "term").agg(F.count(F.lit(1)).alias("tf"), F.first("length").alias("length"))
+
+
+def lengths_of(counts: DataFrame) -> DataFrame:
+    """``(n_docs, all)`` of counts in which every document has a row."""
+    return counts.groupBy("id").agg(F.first("length").alias("length")).agg(F.count(F.lit(1)).alias("n_docs"), F.sum("length").alias("all"))
+
+
 def bm25_index(texts: DataFrame, k1: float = 1.2, b: float = 0.75, stop_words: tuple[str, ...] = STOP_WORDS, stemmed: bool = False) -> DataFrame:
     """``(id, term, weight)`` with ``idf = ln(1 + (N - df + 0.5) / (df + 0.5))``. Texts without terms count in N and the mean length."""
     tf = term_frequencies(texts, stop_words, stemmed)
@@ -155,11 +173,6 @@ def bm25_index(texts: DataFrame, k1: float = 1.2, b: float = 0.75, stop_words: t
     return bm25_weights(tf, total, k1, b)
 
 
-def corpus_size(counts: DataFrame) -> DataFrame:
-    """``(n_docs, all)`` of counts ``(id, term, tf, length)`` in which documents without terms have a row too."""
-    return counts.agg(F.countDistinct("id").alias("n_docs"), F.sum("tf").alias("all"))
-
-
 def bm25_weights(tf: DataFrame, total: DataFrame, k1: float = 1.2, b: float = 0.75) -> DataFrame:
     """``(id, term, weight)`` from raw counts ``(id, term, tf, length)`` and one row ``(n_docs, all)``."""
     df = tf.groupBy("term").agg(F.count(F.lit(1)).alias("df"))

@@ -35,31 +35,53 @@ def _kind(df: DataFrame, name: str = "id") -> str:
 
 
 class Best:
-    """The k best documents of each query so far, by rounded score, then id. Minus infinity is no score."""
-
-    def __init__(self, queries: int, k: int) -> None:
-        self.k = k
-        self.held: list[list[tuple]] = [[] for _ in range(queries)]
-
-    def add(self, scores: np.ndarray, ids: list, own: list | None) -> None:
-        wide = scores.shape[1] > 2 * self.k + 2
-        if wide:  # what can't be among the k best even if one is left out
-            edge = -np.partition(-scores, self.k + 1, axis=1)[:, self.k + 1]
-        for q in range(len(scores)):
-            row = scores[q]
-            near = np.flatnonzero(row >= edge[q]) if wide else range(len(row))
-            held = self.held[q]
-            last = held[-1][0] if len(held) == self.k else np.inf
-            more = [(-row[i], ids[i]) for i in near if -row[i] <= last and row[i] != -np.inf and (own is None or ids[i] != own[q])]
-            if more:
-                self.held[q] = sorted(held + more)[: self.k]
-
-    def rows(self, query_ids: pa.Array, d_type: pa.DataType) -> pa.RecordBatch:
-        sizes = [len(h) for h in self.held]
-        flat = [x for h in self.held for x in h]
-        return pa.RecordBatch.from_arrays(
-            [query_ids.take(pa.array(np.repeat(np.arange(len(sizes)), sizes))), pa.array([d for _, d in flat], d_type), pa.array([-s + 0.0 for s, _ in flat], pa.float64())], names=["query_id", "doc_id", "score"]
-        )
+    """The k best documents of each query so far, by rounded score, then id. Minus infinity is no score.
+
+    What beats a query's k-th best waits in arrays; these are sorted and cut once they are as many as what is held.
+    """
+
+    def __init__(self, queries: pa.Array, k: int) -> None:
+        self.queries, self.k = queries, k
+        self.docs: list[pa.Array] = []
+        self.seen = self.waiting = 0
+        self.edge = np.full(len(queries), -np.inf)
+        self.held = (np.empty(0, np.int64), np.empty(0), np.empty(0, np.int64))  # query, score, document in order of arrival
+        self.more: list[tuple] = []
+
+    def add(self, scores: np.ndarray, ids: pa.Array, exclude_self: bool) -> None:
+        if exclude_self and ids.type == self.queries.type:
+            own = pc.index_in(ids, value_set=self.queries)
+            at = np.flatnonzero(own.is_valid().to_numpy(zero_copy_only=False))
+            scores[own.take(pa.array(at)).to_numpy(), at] = -np.inf
+        edge = self.edge
+        if scores.shape[1] > 2 * self.k and np.isneginf(edge).any():
+            edge = np.maximum(edge, -np.partition(-scores, self.k - 1, axis=1)[:, self.k - 1])
+        q, d = np.nonzero((scores >= edge[:, None]) & (scores != -np.inf))
+        self.more.append((q, scores[q, d], d + self.seen))
+        self.docs.append(ids)
+        self.seen += len(ids)
+        self.waiting += len(q)
+        if self.waiting > max(500_000, len(self.held[0])):
+            self._cut()
+
+    def _cut(self) -> None:
+        q, s, d = map(np.concatenate, zip(self.held, *self.more))
+        ids = pa.chunked_array(self.docs).combine_chunks() if self.docs else pa.nulls(0, pa.int64())
+        place = np.empty(len(ids), np.int64)
+        place[pc.sort_indices(ids).to_numpy()] = np.arange(len(ids))  # document ids are different
+        order = np.lexsort((place[d], -s, q))
+        q, s, d = q[order], s[order], d[order]
+        rank = np.arange(len(q)) - np.searchsorted(q, q)
+        top = rank < self.k
+        last = np.flatnonzero(rank == self.k - 1)
+        self.edge[q[last]] = s[last]
+        self.held, self.more, self.waiting = (q[top], s[top], d[top]), [], 0
+
+    def rows(self, d_type: pa.DataType) -> pa.RecordBatch:
+        self._cut()
+        q, s, d = self.held
+        ids = pa.chunked_array(self.docs, d_type).combine_chunks() if self.docs else pa.nulls(0, d_type)
+        return pa.RecordBatch.from_arrays([self.queries.take(pa.array(q)), ids.take(pa.array(d)), pa.array(s + 0.0)], names=["query_id", "doc_id", "score"])
 
 
 class _Side:
@@ -146,22 +168,21 @@ def _streamed(kernel: Kernel, side: _Side, batches: Iterator[pa.RecordBatch], k:
     n = len(side.ids)
     if not n:
         return
-    own = side.ids.to_pylist() if exclude_self else None
-    best = Best(n, k) if k is not None else None
+    best = Best(side.ids, k) if k is not None else None
     step = max(1, min(4096, 4_000_000 // max(n, len(getattr(side, "matrix", ())))))
     for batch in batches:
         for at in range(0, batch.num_rows, step):
             piece = batch.slice(at, step)
             scores = kernel.scores(side, piece)
             if best:
-                best.add(scores, piece.column(0).to_pylist(), own)
+                best.add(scores, piece.column(0), exclude_self)
                 continue
             q, d = np.nonzero(scores.T != -np.inf)[::-1]
             q_ids, d_ids = side.ids.take(pa.array(q)), piece.column(0).take(pa.array(d))
             out = pa.RecordBatch.from_arrays([q_ids, d_ids, pa.array(scores[q, d] + 0.0)], names=["query_id", "doc_id", "score"])
             yield out.filter(pc.not_equal(q_ids, d_ids)) if exclude_self and q_ids.type == d_ids.type else out
     if best:
-        yield best.rows(side.ids, d_type)
+        yield best.rows(d_type)
 
 
 def block_scores(kernel: Kernel, queries: DataFrame, docs: DataFrame, k: int | None = None, exclude_self: bool = False, query_blocks: int = 1, doc_blocks: int = 1) -> DataFrame:

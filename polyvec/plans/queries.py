@@ -161,9 +161,35 @@ def _bm25_scores(spark: SparkSession, d: str, stop: tuple[str, ...] = T.STOP_WOR
     return scoring.sparse_scores(encode.bm25_queries(_asked(spark, d), stop, stemmed), encode.bm25_index(_texts(spark, d), stop_words=stop, stemmed=stemmed))
 
 
+def _counts(spark: SparkSession, d: str, stop: tuple[str, ...] = T.STOP_WORDS, stemmed: bool = False) -> tuple[DataFrame, DataFrame]:
+    """The terms of the queries, and their counts in the documents: the texts are read once.
+
+    A query side too large to broadcast its terms takes the counts of all terms.
+    """
+    asked, texts = checkpoint(encode.bm25_queries(_asked(spark, d), stop, stemmed)), _texts(spark, d)
+    if asked.count() <= scoring.BLOCK_FLOATS:
+        return asked, checkpoint(encode.asked_counts(texts, asked, stop, stemmed))
+    return asked, checkpoint(segments.segment_counts(texts, stop_words=stop, stemmed=stemmed))
+
+
+def _bm25_of(asked: DataFrame, counts: DataFrame, k: int) -> DataFrame:
+    index = encode.bm25_weights(counts.where("term is not null"), encode.lengths_of(counts))
+    return rank.top_k(scoring.sparse_topk(asked, index, k), k)
+
+
+def _lex_of(asked: DataFrame, counts: DataFrame, k: int) -> DataFrame:
+    weights = counts.where("term is not null").select("id", "term", F.ln(F.col("tf") + 1.0).alias("weight"))
+    return rank.top_k(scoring.sparse_topk(asked, weights, k), k)
+
+
 def _bm25_run(spark: SparkSession, d: str, k: int = DEPTH, stop: tuple[str, ...] = T.STOP_WORDS, stemmed: bool = False) -> DataFrame:
-    index = encode.bm25_index(_texts(spark, d), stop_words=stop, stemmed=stemmed)
-    return rank.top_k(scoring.sparse_topk(encode.bm25_queries(_asked(spark, d), stop, stemmed), index, k), k)
+    return _bm25_of(*_counts(spark, d, stop, stemmed), k)
+
+
+def _two_runs(spark: SparkSession, d: str, k: int = DEPTH) -> tuple[DataFrame, DataFrame]:
+    """BM25 and lexical, from the same counts."""
+    counts = _counts(spark, d)
+    return _bm25_of(*counts, k), _lex_of(*counts, k)
 
 
 def _lex_docs(spark: SparkSession, d: str) -> DataFrame:
@@ -175,7 +201,7 @@ def _lex_scores(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _lex_run(spark: SparkSession, d: str, k: int = DEPTH) -> DataFrame:
-    return rank.top_k(scoring.sparse_topk(encode.bm25_queries(_asked(spark, d)), _lex_docs(spark, d), k), k)
+    return _lex_of(*_counts(spark, d), k)
 
 
 def bm25_terms(spark: SparkSession, d: str) -> DataFrame:
@@ -309,7 +335,7 @@ def ndcg_histogram(spark: SparkSession, d: str) -> DataFrame:
 
 def dataset_means(spark: SparkSession, d: str) -> DataFrame:
     """Means per dataset of the queries and method, one column a method: the headroom table."""
-    parts = [metrics.evaluate(run, S.qrels(spark, d), (10,)).select("query_id", "ndcg", F.lit(name).alias("method")) for name, run in (("bm25", _bm25_run(spark, d)), ("lexical", _lex_run(spark, d)))]
+    parts = [metrics.evaluate(run, S.qrels(spark, d), (10,)).select("query_id", "ndcg", F.lit(name).alias("method")) for name, run in zip(("bm25", "lexical"), _two_runs(spark, d))]
     named = parts[0].unionByName(parts[1]).join(S.queries(spark, d).select("query_id", "dataset"), "query_id")
     wide = named.groupBy("dataset").pivot("method", ["bm25", "lexical"]).agg(F.avg("ndcg"))
     return wide.select("dataset", _r("bm25").alias("bm25"), _r("lexical").alias("lexical"), _r(F.col("lexical") - F.col("bm25")).alias("headroom"))
@@ -319,13 +345,14 @@ def dataset_means(spark: SparkSession, d: str) -> DataFrame:
 
 
 def run_fidelity(spark: SparkSession, d: str) -> DataFrame:
-    return _rounded(stats.fidelity(_lex_run(spark, d), _bm25_run(spark, d)), "overlap", "coverage", "median_rank")
+    bm25, lexical = _two_runs(spark, d)
+    return _rounded(stats.fidelity(lexical, bm25), "overlap", "coverage", "median_rank")
 
 
 def _delta(spark: SparkSession, d: str) -> DataFrame:
-    judged = S.qrels(spark, d)
-    delta = stats.deltas(metrics.evaluate(_lex_run(spark, d), judged, (10,)), metrics.evaluate(_bm25_run(spark, d), judged, (10,)), "ndcg", 10)
-    return delta.select("query_id", _r("delta").alias("delta"))
+    judged, (bm25, lexical) = S.qrels(spark, d), _two_runs(spark, d, 10)
+    delta = stats.deltas(metrics.evaluate(lexical, judged, (10,)), metrics.evaluate(bm25, judged, (10,)), "ndcg", 10)
+    return checkpoint(delta.select("query_id", _r("delta").alias("delta")))  # a row a query, read several times
 
 
 def paired_delta(spark: SparkSession, d: str) -> DataFrame:
@@ -558,7 +585,7 @@ def router_logistic_oof(spark: SparkSession, d: str) -> DataFrame:
 
 
 def candidate_union(spark: SparkSession, d: str) -> DataFrame:
-    return rank.candidate_union([_bm25_run(spark, d), _lex_run(spark, d)], 20)
+    return rank.candidate_union(list(_two_runs(spark, d, 20)), 20)
 
 
 def cache_todo(spark: SparkSession, d: str) -> DataFrame:

@@ -23,7 +23,7 @@ def _saved(spark: SparkSession, d: str) -> str:
     """A folder with the BM25 and the lexical run."""
     folder, judged = scratch(spark, "runs"), S.qrels(spark, d)
     docs = S.documents(spark, d).count()
-    for name, run in (("bm25", Q._bm25_run(spark, d)), ("lexical", Q._lex_run(spark, d))):
+    for name, run in zip(("bm25", "lexical"), map(checkpoint, Q._two_runs(spark, d))):  # written by several outputs
         reports.evaluate_and_save(run, judged, folder, name, docs, {"k1": 1.2, "b": 0.75}, {"online_seconds": 1.0}, {"description": "postings"})
     return folder
 
@@ -76,10 +76,11 @@ def first_stage_costs(spark: SparkSession, d: str) -> DataFrame:
 
 def cross_dataset(spark: SparkSession, d: str) -> DataFrame:
     """Mean nDCG@10 of four methods per dataset, their places, and what BM25 lacks to each."""
-    run, judged = checkpoint(Q._bm25_run(spark, d)), S.qrels(spark, d)
-    pairs = run.where("rank <= 10").select("query_id", "doc_id")
-    lexical = scoring.sparse_relational(encode.bm25_queries(Q._asked(spark, d)), Q._lex_docs(spark, d), pairs)
-    runs = {"bm25": run, "lexical": Q._lex_run(spark, d), "bm25 > lexical@10": rank.rerank(run, lexical, 10), "bm25 > stored@20": rank.rerank(run, Q._stored(spark, d), 20)}
+    (asked, counts), judged = Q._counts(spark, d), S.qrels(spark, d)
+    run = checkpoint(Q._bm25_of(asked, counts, Q.DEPTH))
+    weights = counts.where("term is not null").select("id", "term", F.ln(F.col("tf") + 1.0).alias("weight"))
+    lexical = scoring.sparse_relational(asked, weights, run.where("rank <= 10"))
+    runs = {"bm25": run, "lexical": Q._lex_of(asked, counts, Q.DEPTH), "bm25 > lexical@10": rank.rerank(run, lexical, 10), "bm25 > stored@20": rank.rerank(run, Q._stored(spark, d), 20)}
     of = S.queries(spark, d).select("query_id", "dataset")
     parts = [metrics.named(metrics.evaluate(r, judged, (10,)), "ndcg@10").withColumn("method", F.lit(name)) for name, r in runs.items()]
     means = reduce(DataFrame.unionByName, parts).join(of, "query_id").groupBy("dataset", "method").agg(Q._r(F.avg("value")).alias("value"))

@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from polyvec.operators.encode import bm25_weights, corpus_size, term_frequencies
+from polyvec.operators.encode import bm25_weights, lengths_of, term_frequencies
 
 
 def segment_counts(texts: DataFrame, **options) -> DataFrame:
@@ -44,4 +44,4 @@ def read_segments(spark: SparkSession, path: str) -> DataFrame:
 def segment_weights(spark: SparkSession, path: str, k1: float = 1.2, b: float = 0.75) -> DataFrame:
     """``(id, term, weight)``: the BM25 index of all segments, as of their texts at once."""
     rows = _last(spark, path)
-    return bm25_weights(rows.where("term is not null"), corpus_size(rows), k1, b)
+    return bm25_weights(rows.where("term is not null"), lengths_of(rows), k1, b)
