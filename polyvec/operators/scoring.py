@@ -115,13 +115,14 @@ def _bags(lists: pa.Array, dim: int) -> tuple[np.ndarray, np.ndarray]:
 
 class Kernel:
     """Scores of a block of queries with some documents, rounded. ``alpha``: of the sparse part where there are both; ``levels``: scores
-    farther than ``band`` from all of them are none."""
+    farther than ``band`` from all of them are none. With ``second`` documents have other ``weights2``, and the score is that of the
+    weights + ``alpha`` * that of the others."""
 
-    def __init__(self, dim: int = 0, sparse: bool = False, alpha: float = 1.0, digits: int = 6, levels: tuple[float, ...] = (), band: float = 0.0) -> None:
-        self.dim, self.sparse, self.alpha, self.digits, self.levels, self.band = dim, sparse, alpha, digits, levels, band
+    def __init__(self, dim: int = 0, sparse: bool = False, alpha: float = 1.0, digits: int = 6, levels: tuple[float, ...] = (), band: float = 0.0, second: bool = False) -> None:
+        self.dim, self.sparse, self.alpha, self.digits, self.levels, self.band, self.second = dim, sparse, alpha, digits, levels, band, second
 
     def columns(self) -> list[str]:
-        return ["id", *(["flat"] if self.dim else []), *(["terms", "weights"] if self.sparse else [])]
+        return ["id", *(["flat"] if self.dim else []), *(["terms", "weights"] if self.sparse else []), *(["weights2"] if self.second else [])]
 
     def scores(self, side: _Side, docs: pa.RecordBatch) -> np.ndarray:
         out = None
@@ -135,15 +136,17 @@ class Kernel:
             out = np.round(product, self.digits)
         if self.sparse:
             lex = self._products(side, docs)
+            if self.second:
+                lex = np.round(lex + self.alpha * self._products(side, docs, "weights2"), 9)
             out = lex if out is None else np.round(out + self.alpha * np.where(lex == -np.inf, 0.0, lex), 9)
         if self.levels:
             near = np.min([np.abs(out - x) for x in self.levels], axis=0)
             out = np.where(near <= self.band + 1e-6, out, -np.inf)
         return out
 
-    def _products(self, side: _Side, docs: pa.RecordBatch) -> np.ndarray:
+    def _products(self, side: _Side, docs: pa.RecordBatch, of: str = "weights") -> np.ndarray:
         """Sums over shared terms by looking a document's terms up among the queries' postings; minus infinity where none is shared."""
-        terms, weights = (docs.column(docs.schema.names.index(n)) for n in ("terms", "weights"))
+        terms, weights = (docs.column(docs.schema.names.index(n)) for n in ("terms", of))
         doc = np.repeat(np.arange(docs.num_rows), _lengths(terms))
         at = pc.fill_null(pc.index_in(terms.flatten(), value_set=side.terms), -1).to_numpy(zero_copy_only=False)
         known = at >= 0
@@ -245,14 +248,17 @@ def maxsim_scores(queries: DataFrame, docs: DataFrame, k: int | None = None, dig
 
 
 def term_lists(postings: DataFrame) -> DataFrame:
-    """``(id, terms, weights)`` of ``(id, term, weight)``."""
-    one = postings.groupBy("id").agg(F.collect_list(F.struct("term", F.col("weight").cast("double").alias("weight"))).alias("p"))
-    return one.select("id", F.col("p.term").alias("terms"), F.col("p.weight").alias("weights"))
+    """``(id, terms, weights)`` of ``(id, term, weight)``, with ``weights2`` if there is a ``weight2``."""
+    names = [c for c in ("weight", "weight2") if c in postings.columns]
+    one = postings.groupBy("id").agg(F.collect_list(F.struct("term", *[F.col(c).cast("double").alias(c) for c in names])).alias("p"))
+    return one.select("id", F.col("p.term").alias("terms"), *[F.col(f"p.{c}").alias(c.replace("weight", "weights")) for c in names])
 
 
-def sparse_topk(queries: DataFrame, docs: DataFrame, k: int, exclude_self: bool = False, digits: int = 6) -> DataFrame:
+def sparse_topk(queries: DataFrame, docs: DataFrame, k: int, exclude_self: bool = False, digits: int = 6, alpha: float | None = None) -> DataFrame:
     """The ``k`` best of ``sparse_scores`` per query and task, without a row per matching pair.
 
+    With ``alpha`` the documents have a ``weight2`` too, and the best are those by the one score + ``alpha`` * the other, as ``hybrid`` of both.
+
     Postings of terms that no query has are left out before documents are gathered, by a broadcast of the
     terms where the postings of the query side are counted as one block. A frequent term costs its
     postings once a document that has it, and no shuffle.
@@ -262,7 +268,9 @@ def sparse_topk(queries: DataFrame, docs: DataFrame, k: int, exclude_self: bool
     asked = queries.select("term").distinct()
     kept = docs.join(F.broadcast(asked) if parts == 1 else asked, "term", "left_semi")
     q, d = term_lists(queries), term_lists(kept)
-    return block_scores(Kernel(sparse=True, digits=digits), q, d, k, exclude_self, parts, parts if parts == 1 else max(1, -(-kept.count() * 2 // BLOCK_FLOATS)))
+    if alpha is not None:
+        q = q.withColumn("weights2", F.array().cast("array<double>"))
+    return block_scores(Kernel(sparse=True, digits=digits, alpha=1.0 if alpha is None else alpha, second=alpha is not None), q, d, k, exclude_self, parts, parts if parts == 1 else max(1, -(-kept.count() * 2 // BLOCK_FLOATS)))
 
 
 def hybrid_topk(queries: DataFrame, docs: DataFrame, query_terms: DataFrame, doc_terms: DataFrame, k: int, alpha: float = 0.3, exclude_self: bool = False, dim: int = 64) -> DataFrame:

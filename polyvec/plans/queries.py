@@ -495,17 +495,24 @@ def rank_correlation(spark: SparkSession, d: str) -> DataFrame:
 # --- routing
 
 
-def _both_scores(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    """BM25 and lexical scores, written once: routing reads each several times."""
-    return checkpoint(_bm25_scores(spark, d)), checkpoint(_lex_scores(spark, d))
+def _routing_runs(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """The first ten of the fusion, the BM25 run, the first ten of the lexical run, and lexical scores of BM25's first ten: no other pair is written."""
+    asked, counts = _counts(spark, d)
+    index = encode.bm25_weights(counts.where("term is not null"), encode.lengths_of(counts))
+    lex = counts.where("term is not null").select("id", "term", F.ln(F.col("tf") + 1.0).alias("weight"))
+    both = checkpoint(index.join(lex.withColumnRenamed("weight", "weight2"), ["id", "term"]))
+    hyb = rank.top_k(scoring.sparse_topk(asked, both, 10, alpha=ALPHA), 10)
+    bm25 = checkpoint(rank.top_k(scoring.sparse_topk(asked, both.drop("weight2"), DEPTH), DEPTH))
+    lists = rank.top_k(scoring.sparse_topk(asked, lex, 10), 10)
+    return checkpoint(hyb), bm25, checkpoint(lists), checkpoint(scoring.sparse_relational(asked, lex, bm25.where("rank <= 10")))
 
 
 def router_features(spark: SparkSession, d: str) -> DataFrame:
-    return _features(spark, d, *_both_scores(spark, d))
+    return _features(spark, d, *_routing_runs(spark, d))
 
 
-def _features(spark: SparkSession, d: str, bm25: DataFrame, lex: DataFrame) -> DataFrame:
-    rows = router.features(rank.top_k(scoring.hybrid(bm25, lex, ALPHA), 10), rank.top_k(bm25, 10), rank.top_k(lex, 10))
+def _features(spark: SparkSession, d: str, hyb: DataFrame, bm25: DataFrame, lists: DataFrame, lex: DataFrame) -> DataFrame:
+    rows = router.features(hyb, bm25.where("rank <= 10"), lists)
     length = encode.bm25_queries(_asked(spark, d)).groupBy(F.col("id").alias("query_id")).agg(F.sum("weight").cast("bigint").alias("q_tokens"), F.count(F.lit(1)).alias("q_lex_terms"))
     rows = rows.join(length, "query_id", "left").fillna(0, ["q_tokens", "q_lex_terms"])
     return rows.select(*[_r(c).alias(c) if t == "double" else F.col(c).cast("bigint").alias(c) if t in ("int", "bigint") else F.col(c) for c, t in rows.dtypes])
@@ -523,17 +530,17 @@ def rerank_stored(spark: SparkSession, d: str) -> DataFrame:
 
 
 def router_labels(spark: SparkSession, d: str) -> DataFrame:
-    return _labels(spark, d, *_both_scores(spark, d))
+    return _labels(spark, d, *_routing_runs(spark, d))
 
 
-def _labels(spark: SparkSession, d: str, bm25: DataFrame, lex: DataFrame) -> DataFrame:
-    run, judged, stored = rank.top_k(bm25, DEPTH), S.qrels(spark, d), _stored(spark, d)
-    per = [metrics.evaluate(r, judged, (10,)) for r in (run, rank.rerank(run, lex, 10), rank.rerank(run, stored, 20))]
+def _labels(spark: SparkSession, d: str, hyb: DataFrame, bm25: DataFrame, lists: DataFrame, lex: DataFrame) -> DataFrame:
+    judged, stored = S.qrels(spark, d), _stored(spark, d)
+    per = [metrics.evaluate(r, judged, (10,)) for r in (bm25, rank.rerank(bm25, lex, 10), rank.rerank(bm25, stored, 20))]
     return _rounded(router.labels(*per), "ndcg_first", "ndcg_base", "ndcg_escalate", "gain").withColumn("y", F.col("y").cast("bigint"))
 
 
 def _scored(spark: SparkSession, d: str) -> DataFrame:
-    scores = _both_scores(spark, d)
+    scores = _routing_runs(spark, d)
     margin = _features(spark, d, *scores).select("query_id", (-F.col("hyb_margin12")).alias("score"))
     return checkpoint(_labels(spark, d, *scores).join(margin, "query_id").select("query_id", "score", "gain", F.col("ndcg_base").alias("base"), "y"))
 
@@ -571,7 +578,7 @@ FEATURES = ["hyb_top1", "hyb_margin12", "hyb_gap1_10", "hyb_std10", "dense_top1"
 
 
 def _routing_rows(spark: SparkSession, d: str) -> DataFrame:
-    scores = _both_scores(spark, d)
+    scores = _routing_runs(spark, d)
     rows = _features(spark, d, *scores).join(_labels(spark, d, *scores), "query_id").join(S.queries(spark, d).select("query_id", "dataset", "split"), "query_id")
     return checkpoint(rows)
 

@@ -147,7 +147,7 @@ def escalation_latency(spark: SparkSession, d: str) -> DataFrame:
 
 def router_heuristics(spark: SparkSession, d: str) -> DataFrame:
     """AUC of rules that need no training: small margin, lists that differ, small gap, weak first score."""
-    scores = Q._both_scores(spark, d)
+    scores = Q._routing_runs(spark, d)
     rows = checkpoint(Q._features(spark, d, *scores).join(Q._labels(spark, d, *scores).select("query_id", "y"), "query_id"))
     rules = {"margin": -F.col("hyb_margin12"), "jaccard": -F.col("dense_lex_jaccard10"), "gap": -F.col("hyb_gap1_10"), "top1": -F.col("hyb_top1")}
     parts = [router.roc_auc(rows.select("query_id", c.alias("score"), "y")).select(F.lit(name).alias("rule"), Q._r("auc").alias("auc")) for name, c in rules.items()]
