@@ -386,10 +386,10 @@ def _settings(spark: SparkSession, d: str) -> DataFrame:
     log = log.select(F.lower(F.trim("method")).alias("method"), "total_ms", "postings_read")
     means = log.groupBy("method").agg(F.avg("postings_read").alias("value"))
     one = percentiles(log, ["method"], "total_ms", {"cost": 0.5}).join(means, "method")
-    return one.select(
+    return checkpoint(one.select(
         "method", F.split("method", " ")[0].alias("family"), number("w=(\\d+)").alias("w"), number("k=(\\d+)").alias("k"), number("r=(\\d+)").alias("reps"),
         F.col("method").contains("center").alias("center"), "n", _r("cost").alias("cost"), _r("value").alias("value"),
-    )
+    ))
 
 
 def experiment_table(spark: SparkSession, d: str) -> DataFrame:
