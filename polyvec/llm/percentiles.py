@@ -7,8 +7,8 @@ holds each wanted rank, the next histogram is taken below that digit only, and s
 
 A summary keeps 12 bits of sign and exponent and ``mantissa`` bits of the mantissa, so the exact
 order statistic lies in the reported bucket, whose width is at most 2 ** -mantissa of the value
-(relative), whatever the number of rows. ``refine`` reads the data once more and goes on through
-the remaining digits, to the exact value.
+(relative), whatever the number of rows. ``refine`` goes on through the remaining digits, to the exact
+value, with one more read of the data for each digit of ``digit_bits`` bits: two for the 44 bits beyond 8.
 """
 
 from __future__ import annotations
@@ -19,6 +19,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from polyvec.operators.ordered import if_few
+
 HEAD = 12  # bits of sign and exponent
 
 
@@ -109,22 +111,27 @@ def select(summary: DataFrame, groups: Sequence[str], quantiles: Sequence[float]
 
 
 def bounds(selected: DataFrame, mantissa: int = 8) -> DataFrame:
-    """``(groups, q, n, low, high)``: the exact order statistic lies within ``[low, high]``."""
+    """``(groups, q, n, value, low, high)``: the exact order statistic lies within ``[low, high]``; ``value`` is the middle, within ``error_bound`` of it.
+
+    In the last bucket before infinity ``high`` and the middle are infinite.
+    """
     edge = lambda c: from_bits(F.shiftleft(c, 52 - mantissa))
-    return selected.select("key.*", "q", "n", edge(F.col("prefix")).alias("low"), edge(F.col("prefix") + 1).alias("high"))
+    rows = selected.select("key.*", "q", "n", edge(F.col("prefix")).alias("low"), edge(F.col("prefix") + 1).alias("high"))
+    return rows.withColumn("value", F.col("low") + (F.col("high") - F.col("low")) / 2)
 
 
 def refine(df: DataFrame, groups: Sequence[str], value: str, selected: DataFrame, mantissa: int = 8, digit_bits: int = 22) -> DataFrame:
     """``(groups, q, n, value)``: the exact order statistics, by the digits that the summary left out.
 
     Each round reads the values below the buckets that hold a rank and no others, and counts one
-    more digit of them. Spark broadcasts the list of these buckets only below its size threshold.
+    more digit of them. The list of these buckets is broadcast up to a counted number of rows, so that a
+    bucket with very many values (a coarse clock) isn't one task; a longer list is joined by shuffle.
     """
     values = df.select(F.struct(*groups).alias("key"), ordered_bits(F.col(value)).alias("bits")).where("bits is not null")
     at, rest = selected, 52 - mantissa
     while rest:
         step = min(digit_bits, rest)
-        below = at.select("key", "prefix").distinct()
+        below = if_few(at.select("key", "prefix").distinct())
         near = values.withColumn("prefix", _floor_shift(F.col("bits"), rest)).join(below, ["key", "prefix"])
         counts = near.groupBy("key", "prefix", _floor_shift(F.col("bits"), rest - step).alias("digit")).agg(F.count(F.lit(1)).alias("n"))
         at = _holding(counts.join(at.withColumnRenamed("n", "total"), ["key", "prefix"]), ["key", "q"])

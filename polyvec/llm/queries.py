@@ -67,7 +67,7 @@ def p2_percentiles(spark: SparkSession, folder: str) -> DataFrame:
     """Per method and day, and per method over all days (``run_day`` null, ``whole`` true), from the days' summaries."""
     by_day, overall = (percentiles.bounds(s, MANTISSA) for s in _selected(spark, folder))
     return by_day.withColumn("whole", F.lit(False)).unionByName(
-        overall.select("method", F.lit(None).cast("date").alias("run_day"), "q", "n", "low", "high", F.lit(True).alias("whole"))
+        overall.withColumns({"run_day": F.lit(None).cast("date"), "whole": F.lit(True)})
     )
 
 
@@ -245,7 +245,7 @@ def oracle_sql() -> dict[str, str]:
             with picked as (
               {_p2_case("method, run_day, false as whole", by_day)}
               union all {_p2_case("method, null::date as run_day, true as whole", whole)})
-            select method, run_day, q, n, {low} as low, {high} as high, whole from picked""",
+            select method, run_day, q, n, low + (high - low) / 2 as value, low, high, whole from (select *, {low} as low, {high} as high from picked)""",
         "p2_exact": f"select method, q, n, x as total_ms from ({_p2_case('method', whole)})",
         "p3_found": _P3 + "select query_id, doc_id from ranked where rank <= 10",
         "p3_top": _P3 + "select query_id, doc_id, ce_score, rank from ranked where rank <= 10",
