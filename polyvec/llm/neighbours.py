@@ -327,7 +327,7 @@ def fit_forest(classes: DataFrame, total: int, dim: int, leaf: int, sample: int,
 
 def most_similar(
     df: DataFrame, key: str, vector: str, k: int = 5, dim: int = 64, min_cosine: float | None = None, query: Column | None = None,
-    leaf: int = 2048, sample: int = 16384, mass: float = 0.95, spread: float = 2.0, block: int = 8192, counted: int = 200_000, router_bytes: int = 64_000_000, seed: int = 7,
+    leaf: int = 2048, sample: int = 16384, mass: float = 0.95, spread: float = 2.0, block: int = 8192, counted: int = 50_000, router_bytes: int = 64_000_000, seed: int = 7,
 ) -> DataFrame:
     """``(<key>, neighbour, cosine, rank)``: the ``k`` other ids most similar to each id, ties by id ascending.
 
