@@ -25,6 +25,10 @@ class Dataset:
     def results(self, root: str, model: str) -> str:
         return f"{root}/{self.name}_{model}"
 
+    def allowed(self, scores: DataFrame) -> DataFrame:
+        """Scores without those of a query with itself, where the dataset's queries are documents too."""
+        return scores.where(F.col("query_id").cast("string") != F.col("doc_id").cast("string")) if self.excludes_self else scores
+
 
 DATASETS: dict[str, Dataset] = {d.name: d for d in (Dataset("labclaims", "Lab claims"), Dataset("nutriqa", "Nutrition questions"), Dataset("debatepro", "Debate", True))}
 

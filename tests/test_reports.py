@@ -220,3 +220,16 @@ def test_reports_match_sql(spark, name):
     df = e.queries()[name](spark, FOLDER)
     cur = connect(FOLDER).execute(e.oracle_sql()[name])
     assert rows_of(df.columns, df.collect()) == rows_of([d[0] for d in cur.description], cur.fetchall())
+
+
+def test_datasets_and_typed_csv(spark, tmp_path):
+    scores = spark.createDataFrame([("a", "a", 1.0), ("a", "b", 1.0)], "query_id string, doc_id string, score double")
+    assert S.DATASETS["debatepro"].allowed(scores).count() == 1 and S.DATASETS["nutriqa"].allowed(scores).count() == 2
+    assert S.DATASETS["nutriqa"].embeddings("/r", "m") == "/r/nutriqa/m/embeddings" and S.DATASETS["nutriqa"].results("/r", "m") == "/r/nutriqa_m"
+    (tmp_path / "t.csv").write_text("name,w,cost\nsmve,64,\n,,1.5\n")
+    assert sorted(map(tuple, S.read_typed_csv(spark, str(tmp_path / "t.csv"), "name string, w int, cost double").collect()), key=str) == sorted([("smve", 64, None), (None, None, 1.5)], key=str)
+
+
+def test_costs(spark):
+    row = spark.range(1).select(scorers.dense_flops(64, F.lit(10)).alias("d"), scorers.maxsim_flops(F.lit(3), F.lit(5), 64).alias("m"), router.latency_at(F.lit(10.0), F.lit(100.0), F.lit(0.1), router.decision_charge(F.lit(12.0), F.lit(10.0), True)).alias("p"), router.decision_charge(F.lit(12.0), F.lit(10.0), False).alias("s")).first()
+    assert (row["d"], row["m"], row["p"], row["s"]) == (1280, 1920, 22, 12)
