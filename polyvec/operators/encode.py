@@ -10,11 +10,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from polyvec.functions.text import STOP_WORDS, stems, tokens
 from polyvec.functions.vectors import centre
+from polyvec.operators.ordered import if_few
 
 # A multiplicative congruential generator modulo the prime 2^31 - 1.
 MODULUS, FACTOR, START = 2147483647, 48271, 69621
@@ -173,14 +174,18 @@ def bm25_index(texts: DataFrame, k1: float = 1.2, b: float = 0.75, stop_words: t
     return bm25_weights(tf, total, k1, b)
 
 
-def bm25_weights(tf: DataFrame, total: DataFrame, k1: float = 1.2, b: float = 0.75) -> DataFrame:
-    """``(id, term, weight)`` from raw counts ``(id, term, tf, length)`` and one row ``(n_docs, all)``."""
+def bm25_weights(tf: DataFrame, total: DataFrame, k1: float = 1.2, b: float = 0.75, asked: bool = False, **also: Column) -> DataFrame:
+    """``(id, term, weight)`` from raw counts ``(id, term, tf, length)`` and one row ``(n_docs, all)``; ``also``: further columns of the counts.
+
+    ``asked``: the counts are stored, and of the terms of queries only, so that these may be counted and broadcast.
+    """
     df = tf.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    df = if_few(df) if asked else df
     stats = total.select("n_docs", (F.col("all") / F.col("n_docs")).alias("mean_length"))
     joined = tf.join(df, "term").crossJoin(F.broadcast(stats))  # one row, whatever the corpus
     idf = F.ln(1 + (F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     weight = idf * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("length") / F.col("mean_length")))
-    return joined.select("id", "term", weight.alias("weight"))
+    return joined.select("id", "term", weight.alias("weight"), *[c.alias(n) for n, c in also.items()])
 
 
 def bm25_queries(texts: DataFrame, stop_words: tuple[str, ...] = STOP_WORDS, stemmed: bool = False) -> DataFrame:

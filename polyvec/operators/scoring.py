@@ -115,14 +115,13 @@ def _bags(lists: pa.Array, dim: int) -> tuple[np.ndarray, np.ndarray]:
 
 class Kernel:
     """Scores of a block of queries with some documents, rounded. ``alpha``: of the sparse part where there are both; ``levels``: scores
-    farther than ``band`` from all of them are none. With ``second`` documents have other ``weights2``, and the score is that of the
-    weights + ``alpha`` * that of the others."""
+    farther than ``band`` from all of them are none."""
 
-    def __init__(self, dim: int = 0, sparse: bool = False, alpha: float = 1.0, digits: int = 6, levels: tuple[float, ...] = (), band: float = 0.0, second: bool = False) -> None:
-        self.dim, self.sparse, self.alpha, self.digits, self.levels, self.band, self.second = dim, sparse, alpha, digits, levels, band, second
+    def __init__(self, dim: int = 0, sparse: bool = False, alpha: float = 1.0, digits: int = 6, levels: tuple[float, ...] = (), band: float = 0.0) -> None:
+        self.dim, self.sparse, self.alpha, self.digits, self.levels, self.band = dim, sparse, alpha, digits, levels, band
 
     def columns(self) -> list[str]:
-        return ["id", *(["flat"] if self.dim else []), *(["terms", "weights"] if self.sparse else []), *(["weights2"] if self.second else [])]
+        return ["id", *(["flat"] if self.dim else []), *(["terms", "weights"] if self.sparse else [])]
 
     def scores(self, side: _Side, docs: pa.RecordBatch) -> np.ndarray:
         out = None
@@ -136,17 +135,15 @@ class Kernel:
             out = np.round(product, self.digits)
         if self.sparse:
             lex = self._products(side, docs)
-            if self.second:
-                lex = np.round(lex + self.alpha * self._products(side, docs, "weights2"), 9)
             out = lex if out is None else np.round(out + self.alpha * np.where(lex == -np.inf, 0.0, lex), 9)
         if self.levels:
             near = np.min([np.abs(out - x) for x in self.levels], axis=0)
             out = np.where(near <= self.band + 1e-6, out, -np.inf)
         return out
 
-    def _products(self, side: _Side, docs: pa.RecordBatch, of: str = "weights") -> np.ndarray:
+    def _products(self, side: _Side, docs: pa.RecordBatch) -> np.ndarray:
         """Sums over shared terms by looking a document's terms up among the queries' postings; minus infinity where none is shared."""
-        terms, weights = (docs.column(docs.schema.names.index(n)) for n in ("terms", of))
+        terms, weights = (docs.column(docs.schema.names.index(n)) for n in ("terms", "weights"))
         doc = np.repeat(np.arange(docs.num_rows), _lengths(terms))
         at = pc.fill_null(pc.index_in(terms.flatten(), value_set=side.terms), -1).to_numpy(zero_copy_only=False)
         known = at >= 0
@@ -254,23 +251,170 @@ def term_lists(postings: DataFrame) -> DataFrame:
     return one.select("id", F.col("p.term").alias("terms"), *[F.col(f"p.{c}").alias(c.replace("weight", "weights")) for c in names])
 
 
-def sparse_topk(queries: DataFrame, docs: DataFrame, k: int, exclude_self: bool = False, digits: int = 6, alpha: float | None = None) -> DataFrame:
-    """The ``k`` best of ``sparse_scores`` per query and task, without a row per matching pair.
+HELD = 6_000_000  # postings of documents that a task searches at once
+
+
+class _Asked:
+    """Queries with their terms as numbers of ``terms``."""
+
+    def __init__(self, table: pa.Table | pa.RecordBatch) -> None:
+        column = lambda n: table.column(n).combine_chunks() if isinstance(table, pa.Table) else table.column(n)
+        lists = column("terms")
+        coded = lists.flatten().dictionary_encode()
+        self.ids, self.terms, self.codes = column("id"), coded.dictionary, coded.indices.to_numpy(zero_copy_only=False).tolist()
+        self.weights = column("weights").flatten().to_numpy(zero_copy_only=False).tolist()
+        self.bounds = np.concatenate([[0], np.cumsum(_lengths(lists))]).tolist()
 
-    With ``alpha`` the documents have a ``weight2`` too, and the best are those by the one score + ``alpha`` * the other, as ``hybrid`` of both.
 
-    Postings of terms that no query has are left out before documents are gathered, by a broadcast of the
-    terms where the postings of the query side are counted as one block. A frequent term costs its
-    postings once a document that has it, and no shuffle.
+def _best_of(scores: np.ndarray, k: int, slack: float) -> np.ndarray:
+    """Places of at least the ``k`` largest of ``scores`` above minus infinity, and of all that lie less than ``slack`` under the ``k``-th.
+
+    The k-th of the maxima of 64 lanes is at most the k-th of all, so that few places are looked at. The length is a multiple of 64.
+    """
+    lanes = scores.reshape(64, -1).max(0)
+    low = np.partition(lanes, len(lanes) - k)[-k] - slack if len(lanes) >= k else -np.inf
+    return np.flatnonzero(scores >= low) if low > -np.inf else np.flatnonzero(scores > -np.inf)
+
+
+def _searched(asked: _Asked, held: list[tuple], wants: list[tuple[float, float, int]], digits: int, exclude_self: bool, d_type: pa.DataType) -> Iterator[pa.RecordBatch]:
+    """The best of what is held, a query at a time along the postings of its terms."""
+    ids = pa.chunked_array([h[0] for h in held], d_type).combine_chunks()
+    order, n = pc.sort_indices(ids).to_numpy(), len(ids)
+    place = np.empty(n, np.int64)
+    place[order] = np.arange(n)
+    ids = ids.take(pa.array(order))  # documents in order of id, as ties go
+    starts = np.cumsum([0, *(len(h[0]) for h in held)])
+    doc = place[np.concatenate([h[1] + at for h, at in zip(held, starts)])]
+    code = np.concatenate([h[2] for h in held])
+    by = np.argsort(code * n + doc)
+    doc, first = doc[by], np.searchsorted(code[by], np.arange(len(asked.terms) + 1)).tolist()
+    weights = [np.concatenate([h[3][i] for h in held])[by] for i in range(len(held[0][3]))]
+    del code, by, place, order
+    signed = min([0.0 if not len(w) else w.min() for w in weights]) < 0 or min(asked.weights, default=0.0) < 0 or any((w == 0).any() for w in weights) or 0.0 in asked.weights
+    size = -(-n // 64) * 64
+    sums, hit, score = [np.zeros(size) for _ in weights], np.zeros(size, bool), np.empty(size)
+    own = pc.fill_null(pc.index_in(asked.ids, value_set=ids), -1).to_numpy() if exclude_self and asked.ids.type == ids.type else None
+    slack = 4 * 10.0**-digits
+    found: list[tuple] = []
+    waiting = 0
+
+    def rows() -> pa.RecordBatch:
+        q = np.repeat(np.array([f[0] for f in found]), [len(f[2]) for f in found])
+        w = np.repeat(np.array([f[1] for f in found], np.int32), [len(f[2]) for f in found])
+        parts = [np.concatenate([f[i] for f in found]) for i in (2, 3, 4)]
+        return pa.RecordBatch.from_arrays([pa.array(w), asked.ids.take(pa.array(q)), ids.take(pa.array(parts[0])), pa.array(parts[1] + 0.0), pa.array(parts[2] + 0.0)], names=["want", "query_id", "doc_id", "score", "second"])
+
+    for q in range(len(asked.ids)):
+        some = False
+        for c, w in zip(asked.codes[asked.bounds[q] : asked.bounds[q + 1]], asked.weights[asked.bounds[q] : asked.bounds[q + 1]]):
+            lo, hi = first[c], first[c + 1]
+            if lo < hi:
+                some, at = True, doc[lo:hi]
+                for total, weight in zip(sums, weights):
+                    np.add.at(total, at, weight[lo:hi] if w == 1.0 else weight[lo:hi] * w)
+                if signed:
+                    hit[at] = True
+        if not some:
+            continue
+        if own is not None and own[q] >= 0:
+            hit[own[q]] = False
+            for total in sums:
+                total[own[q]] = 0.0
+        for want, (x, y, k) in enumerate(wants):
+            if y == 0.0:
+                mixed = sums[0]
+            elif x == 0.0:
+                mixed = sums[1]
+            else:
+                mixed = np.multiply(sums[1], y, out=score)
+                mixed += sums[0] if x == 1.0 else x * sums[0]
+            if signed:
+                at = _best_of(np.where(hit, mixed, -np.inf), k, slack * (1 + abs(x) + abs(y)))
+            else:
+                at = _best_of(mixed, k, slack * (1 + abs(x) + abs(y)))
+                at = at[sums[0][at] > 0]
+            parts = [np.round(total[at], digits) for total in sums]
+            got = parts[0] if (x, y) == (1.0, 0.0) else np.round(x * parts[0] + y * parts[1], 9)
+            if len(at) > k:
+                edge = np.partition(got, len(got) - k)[-k]
+                over = np.flatnonzero(got > edge)
+                pick = np.concatenate([over, np.flatnonzero(got == edge)[: k - len(over)]])
+                at, got, parts = at[pick], got[pick], [p[pick] for p in parts]
+            found.append((q, want, at, got, parts[-1]))
+            waiting += len(at)
+        for total in sums:
+            total.fill(0.0)
+        if signed:
+            hit.fill(False)
+        if waiting > 200_000:
+            yield rows()
+            found, waiting = [], 0
+    if found:
+        yield rows()
+
+
+def _ranked(asked: _Asked, batches: Iterator[pa.RecordBatch], names: list[str], wants: list[tuple[float, float, int]], digits: int, exclude_self: bool, d_type: pa.DataType) -> Iterator[pa.RecordBatch]:
+    held, size = [], 0
+    for batch in batches:
+        for start in range(0, batch.num_rows, 10_000):
+            piece = batch.slice(start, 10_000)
+            lists, *weights = (piece.column(piece.schema.names.index(n)) for n in ["terms", *names])
+            at = pc.fill_null(pc.index_in(lists.flatten(), value_set=asked.terms), -1).to_numpy(zero_copy_only=False).astype(np.int64)
+            known = at >= 0
+            doc = np.repeat(np.arange(piece.num_rows), _lengths(lists))[known]
+            held.append((piece.column(0), doc, at[known], [w.flatten().to_numpy(zero_copy_only=False)[known] for w in weights]))
+            size += len(doc)
+            if size >= HELD:
+                yield from _searched(asked, held, wants, digits, exclude_self, d_type)
+                held, size = [], 0
+    if size:
+        yield from _searched(asked, held, wants, digits, exclude_self, d_type)
+
+
+def sparse_best(queries: DataFrame, docs: DataFrame, wants: list[tuple[float, float, int]], exclude_self: bool = False, digits: int = 6) -> DataFrame:
+    """``(want, query_id, doc_id, score, second)``: for each of ``wants`` ``(x, y, k)`` the ``k`` best per query and task by x * the sum of
+    ``weight`` products + y * that of ``weight2``, both rounded to ``digits``; ``second`` is the last of these two sums. ``y`` other than 0 needs a ``weight2``.
+
+    Every task holds its share of the documents, as many as there are cores, and goes through all queries: a query costs the
+    postings of its terms, and no row is written for other pairs. Postings of terms that no query has are left out before, by a
+    broadcast of the terms where the query side is counted as one block; several blocks of queries meet the documents in cells.
     """
-    size = queries.count()
-    parts = max(1, -(-size * 2 // BLOCK_FLOATS))
+    parts = max(1, -(-queries.count() * 2 // BLOCK_FLOATS))
     asked = queries.select("term").distinct()
     kept = docs.join(F.broadcast(asked) if parts == 1 else asked, "term", "left_semi")
-    q, d = term_lists(queries), term_lists(kept)
-    if alpha is not None:
-        q = q.withColumn("weights2", F.array().cast("array<double>"))
-    return block_scores(Kernel(sparse=True, digits=digits, alpha=1.0 if alpha is None else alpha, second=alpha is not None), q, d, k, exclude_self, parts, parts if parts == 1 else max(1, -(-kept.count() * 2 // BLOCK_FLOATS)))
+    q_kind, d_kind, d_type = _kind(queries), _kind(docs), to_arrow_type(docs.schema["id"].dataType)
+    schema = f"want int, query_id {q_kind}, doc_id {d_kind}, score double, second double"
+    names = [c.replace("weight", "weights") for c in ("weight", "weight2") if c in docs.columns]
+    q = term_lists(queries.select("id", "term", "weight"))
+    if parts == 1:
+        spread = kept.repartition(docs.sparkSession.sparkContext.defaultParallelism, "id")
+        held = docs.sparkSession.sparkContext.broadcast(q.toArrow())
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            return _ranked(_Asked(held.value), batches, names, wants, digits, exclude_self, d_type)
+
+        return term_lists(spread).mapInArrow(run, schema)
+    d, cells = term_lists(kept), max(1, -(-kept.count() * 2 // BLOCK_FLOATS))
+    block = lambda n: F.pmod(F.xxhash64("id"), F.lit(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    left = q.select(F.lit(True).alias("asks"), block(parts).alias("q"), every(cells).alias("d"), F.col("id").alias("q_id"), F.lit(None).cast(d_kind).alias("d_id"), "terms", "weights", *[F.lit(None).cast("array<double>").alias(n) for n in names[1:]])
+    right = d.select(F.lit(False).alias("asks"), every(parts).alias("q"), block(cells).alias("d"), F.lit(None).cast(q_kind).alias("q_id"), F.col("id").alias("d_id"), "terms", *names)
+
+    def cell(table: pa.Table) -> pa.Table:
+        mine = lambda asks, name: table.filter(table.column("asks") if asks else pc.invert(table.column("asks"))).select([name, "terms", *names]).rename_columns(["id", "terms", *names])
+        found = list(_ranked(_Asked(mine(True, "q_id")), iter(mine(False, "d_id").combine_chunks().to_batches()), names, wants, digits, exclude_self, d_type))
+        empty = pa.schema([("want", pa.int32()), ("query_id", table.schema.field("q_id").type), ("doc_id", table.schema.field("d_id").type), ("score", pa.float64()), ("second", pa.float64())])
+        return pa.Table.from_batches(found, empty) if found else empty.empty_table()
+
+    return left.unionByName(right).groupBy("q", "d").applyInArrow(cell, schema)
+
+
+def sparse_topk(queries: DataFrame, docs: DataFrame, k: int, exclude_self: bool = False, digits: int = 6, alpha: float | None = None) -> DataFrame:
+    """The ``k`` best of ``sparse_scores`` per query and task, without a row per matching pair.
+
+    With ``alpha`` the documents have a ``weight2`` too, and the best are those by the one score + ``alpha`` * the other, as ``hybrid`` of both.
+    """
+    return sparse_best(queries, docs, [(1.0, alpha or 0.0, k)], exclude_self, digits).select("query_id", "doc_id", "score")
 
 
 def hybrid_topk(queries: DataFrame, docs: DataFrame, query_terms: DataFrame, doc_terms: DataFrame, k: int, alpha: float = 0.3, exclude_self: bool = False, dim: int = 64) -> DataFrame:

@@ -157,10 +157,6 @@ def _asked(spark: SparkSession, d: str) -> DataFrame:
     return S.queries(spark, d).select(F.col("query_id").alias("id"), "text")
 
 
-def _bm25_scores(spark: SparkSession, d: str, stop: tuple[str, ...] = T.STOP_WORDS, stemmed: bool = False) -> DataFrame:
-    return scoring.sparse_scores(encode.bm25_queries(_asked(spark, d), stop, stemmed), encode.bm25_index(_texts(spark, d), stop_words=stop, stemmed=stemmed))
-
-
 def _counts(spark: SparkSession, d: str, stop: tuple[str, ...] = T.STOP_WORDS, stemmed: bool = False) -> tuple[DataFrame, DataFrame]:
     """The terms of the queries, and their counts in the documents: the texts are read once.
 
@@ -172,8 +168,13 @@ def _counts(spark: SparkSession, d: str, stop: tuple[str, ...] = T.STOP_WORDS, s
     return asked, checkpoint(segments.segment_counts(texts, stop_words=stop, stemmed=stemmed))
 
 
+def _both_weights(counts: DataFrame) -> DataFrame:
+    """``(id, term, weight, weight2)``: BM25 and lexical, from one row."""
+    return encode.bm25_weights(counts.where("term is not null"), encode.lengths_of(counts), asked=True, weight2=F.ln(F.col("tf") + 1.0))
+
+
 def _bm25_of(asked: DataFrame, counts: DataFrame, k: int) -> DataFrame:
-    index = encode.bm25_weights(counts.where("term is not null"), encode.lengths_of(counts))
+    index = _both_weights(counts).drop("weight2")
     return rank.top_k(scoring.sparse_topk(asked, index, k), k)
 
 
@@ -192,14 +193,6 @@ def _two_runs(spark: SparkSession, d: str, k: int = DEPTH) -> tuple[DataFrame, D
     return _bm25_of(*counts, k), _lex_of(*counts, k)
 
 
-def _lex_docs(spark: SparkSession, d: str) -> DataFrame:
-    return encode.term_frequencies(_texts(spark, d)).select("id", "term", F.ln(F.col("tf") + 1.0).alias("weight"))
-
-
-def _lex_scores(spark: SparkSession, d: str) -> DataFrame:
-    return scoring.sparse_scores(encode.bm25_queries(_asked(spark, d)), _lex_docs(spark, d))
-
-
 def _lex_run(spark: SparkSession, d: str, k: int = DEPTH) -> DataFrame:
     return _lex_of(*_counts(spark, d), k)
 
@@ -278,14 +271,13 @@ def _keyed(df: DataFrame) -> DataFrame:
 
 
 def alpha_sensitivity(spark: SparkSession, d: str) -> DataFrame:
-    """Mean nDCG@10 of BM25 + alpha * lexical for ten alphas: one scoring, one ranking over (alpha, query)."""
-    alphas = F.explode(F.array(*[F.lit(a) for a in ALPHAS]))
-    lex = _lex_scores(spark, d).withColumnRenamed("score", "lex")
-    both = _bm25_scores(spark, d).join(lex, ["query_id", "doc_id"], "left").withColumn("alpha", alphas)
-    fused = both.select("alpha", "query_id", "doc_id", F.round(F.col("score") + F.col("alpha") * F.coalesce("lex", F.lit(0.0)), 9).alias("score"))
-    run = rank.top_k(_keyed(fused), 10)
-    judged = _keyed(S.qrels(spark, d).withColumn("alpha", alphas))
-    per = metrics.evaluate(run, judged, (10,))
+    """Mean nDCG@10 of BM25 + alpha * lexical for ten alphas: one scoring of the judged queries, whose best ten for each alpha leave the kernel."""
+    alphas, qrels = F.array(*[F.lit(a) for a in ALPHAS]), S.qrels(spark, d)
+    asked, counts = _counts(spark, d)
+    asked = rank.judged_only(asked.withColumnRenamed("id", "query_id"), qrels).withColumnRenamed("query_id", "id")
+    best = scoring.sparse_best(asked, _both_weights(counts), [(1.0, a, 10) for a in ALPHAS])
+    run = rank.top_k(_keyed(best.withColumn("alpha", alphas[F.col("want")]).select("alpha", "query_id", "doc_id", "score")), 10)
+    per = metrics.evaluate(run, _keyed(qrels.withColumn("alpha", F.explode(alphas))), (10,))
     return per.groupBy(F.split("query_id", "\\|")[0].cast("double").alias("alpha")).agg(_r(F.avg("ndcg")).alias("ndcg"))
 
 

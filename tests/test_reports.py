@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from polyvec.operators import encode, metrics, rank, router, scorers, scoring, stats
 from polyvec.operators.ordered import percentiles, running
-from polyvec.plans import objects, report_queries, reports
+from polyvec.plans import objects, queries, report_queries, reports
 from polyvec.sources import tables as S
 from polyvec.streaming import segments
 
@@ -72,6 +72,28 @@ def test_cells_and_kernels_are_the_plain_joins(spark, monkeypatch, blocks):
         assert part.count() == 0
 
 
+@pytest.mark.parametrize("held, block", [(6_000_000, 4_000_000), (20, 4_000_000), (20, 60)])
+def test_several_fusions_from_one_scoring(spark, monkeypatch, held, block):
+    """In chunks and cells, with many ties, weights of 0 and below, and documents that share only a term without weight."""
+    (_, qt), (_, dt) = vectors(spark, 20, 1, "q"), vectors(spark, 300, 2, "d")
+    monkeypatch.setattr(scoring, "HELD", held)
+    monkeypatch.setattr(scoring, "BLOCK_FLOATS", block)
+    for shift in (0.0, 2.0):
+        both = dt.select("id", "term", (F.col("weight") - shift).alias("weight"), F.ln("weight").alias("weight2"))
+        one, two = scoring.sparse_scores(qt, both.drop("weight2")), scoring.sparse_scores(qt, both.select("id", "term", F.col("weight2").alias("weight")))
+        found = scoring.sparse_best(qt, both, [(1.0, 0.0, 7), (1.0, 0.3, 5), (0.0, 1.0, 5), (1.0, 2.0, 70)])
+        assert ranked(found.where("want = 0").select("query_id", "doc_id", "score"), 7) == ranked(one, 7)
+        for want, alpha, k in ((1, 0.3, 5), (3, 2.0, 70)):
+            assert ranked(found.where(F.col("want") == want).select("query_id", "doc_id", "score"), k) == ranked(scoring.hybrid(one, two, alpha), k)
+        assert ranked(found.where("want = 2").select("query_id", "doc_id", "score"), 5) == ranked(two, 5)
+        assert found.where("want = 0").join(two.withColumnRenamed("score", "other"), ["query_id", "doc_id"], "left").where("second is distinct from other").count() == 0
+
+
+def test_alphas_write_no_row_per_matching_pair(spark, monkeypatch):
+    monkeypatch.setattr(scoring, "sparse_scores", None)
+    assert queries.alpha_sensitivity(spark, FOLDER).count() == len(queries.ALPHAS)
+
+
 def test_exact_signed_ranks(spark):
     for values in ([0.1, -0.2, 0.3, 0.4, 0.2], [0.5], [1.0, -1.0, 2.0, 2.0, -3.0, 4.0, 0.0]):
         delta = spark.createDataFrame([(f"q{i}", v) for i, v in enumerate(values)], "query_id string, delta double")
