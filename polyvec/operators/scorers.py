@@ -30,7 +30,16 @@ def score_pairs(pairs: DataFrame, scorer: Callable[[list[str], list[str]], list[
 
 def overlap_scorer(pairs: DataFrame) -> DataFrame:
     """A stand-in for a model: the share of the query's distinct terms that the document has."""
-    q, d = F.array_distinct(tokens(F.col("query_text"))), F.array_distinct(tokens(F.col("doc_text")))
+    return overlap_of_terms(pairs.withColumns({"query_terms": term_set(F.col("query_text")), "doc_terms": term_set(F.col("doc_text"))}))
+
+
+def term_set(text: Column) -> Column:
+    return F.array_distinct(tokens(text))
+
+
+def overlap_of_terms(pairs: DataFrame) -> DataFrame:
+    """``overlap_scorer`` of ``query_terms`` and ``doc_terms``: a text that is in several pairs needs to be cut only once."""
+    q, d = F.col("query_terms"), F.col("doc_terms")
     share = F.when(F.size(q) > 0, F.size(F.array_intersect(q, d)) / F.size(q)).otherwise(0.0)
     return pairs.select("query_id", "doc_id", F.round(share, 6).alias("score"))
 

@@ -592,10 +592,11 @@ def cache_todo(spark: SparkSession, d: str) -> DataFrame:
 
 
 def overlap_rerank(spark: SparkSession, d: str) -> DataFrame:
-    """The BM25 run's first 20 by the stand-in scorer."""
-    run = _bm25_run(spark, d)
-    pairs = run.where("rank <= 20").join(S.documents(spark, d).select("doc_id", F.col("text").alias("doc_text")), "doc_id").join(S.queries(spark, d).select("query_id", F.col("text").alias("query_text")), "query_id")
-    return rank.rerank(run, scorers.overlap_scorer(pairs), 20, keep_tail=False).select("query_id", "doc_id", "score", "rank")
+    """The BM25 run's first 20 by the stand-in scorer; no others are looked for."""
+    run = checkpoint(_bm25_run(spark, d, 20))
+    docs = S.documents(spark, d).select("doc_id", scorers.term_set(F.col("text")).alias("doc_terms"))
+    asked = S.queries(spark, d).select("query_id", scorers.term_set(F.col("text")).alias("query_terms"))
+    return rank.rerank(run, scorers.overlap_of_terms(run.join(docs, "doc_id").join(asked, "query_id")), 20, keep_tail=False).select("query_id", "doc_id", "score", "rank")
 
 
 def shorten_text(spark: SparkSession, d: str) -> DataFrame:

@@ -94,6 +94,12 @@ def test_alphas_write_no_row_per_matching_pair(spark, monkeypatch):
     assert queries.alpha_sensitivity(spark, FOLDER).count() == len(queries.ALPHAS)
 
 
+def test_overlap_rerank_looks_for_no_more_than_it_reranks(spark, monkeypatch):
+    whole, depths, run = sorted(map(tuple, rank.rerank(queries._bm25_run(spark, FOLDER), queries.overlap_rerank(spark, FOLDER), 20, keep_tail=False).collect())), [], queries._bm25_of
+    monkeypatch.setattr(queries, "_bm25_of", lambda asked, counts, k: depths.append(k) or run(asked, counts, k))
+    assert sorted(map(tuple, queries.overlap_rerank(spark, FOLDER).collect())) == whole and depths == [20]
+
+
 def test_exact_signed_ranks(spark):
     for values in ([0.1, -0.2, 0.3, 0.4, 0.2], [0.5], [1.0, -1.0, 2.0, 2.0, -3.0, 4.0, 0.0]):
         delta = spark.createDataFrame([(f"q{i}", v) for i, v in enumerate(values)], "query_id string, delta double")
