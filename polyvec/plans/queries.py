@@ -487,16 +487,16 @@ def rank_correlation(spark: SparkSession, d: str) -> DataFrame:
 # --- routing
 
 
-def _routing_runs(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
-    """The first ten of the fusion, the BM25 run, the first ten of the lexical run, and lexical scores of BM25's first ten: no other pair is written."""
+def _routing_runs(spark: SparkSession, d: str, judged: bool = False) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """The first ten of the fusion, the first 20 of BM25, which is what the rerankers and nDCG@10 read, the first ten of the lexical run, and
+    lexical scores of BM25's first ten, all from one scoring: no other pair is written. ``judged``: of the judged queries only."""
     asked, counts = _counts(spark, d)
-    index = encode.bm25_weights(counts.where("term is not null"), encode.lengths_of(counts))
-    lex = counts.where("term is not null").select("id", "term", F.ln(F.col("tf") + 1.0).alias("weight"))
-    both = checkpoint(index.join(lex.withColumnRenamed("weight", "weight2"), ["id", "term"]))
-    hyb = rank.top_k(scoring.sparse_topk(asked, both, 10, alpha=ALPHA), 10)
-    bm25 = checkpoint(rank.top_k(scoring.sparse_topk(asked, both.drop("weight2"), DEPTH), DEPTH))
-    lists = rank.top_k(scoring.sparse_topk(asked, lex, 10), 10)
-    return checkpoint(hyb), bm25, checkpoint(lists), checkpoint(scoring.sparse_relational(asked, lex, bm25.where("rank <= 10")))
+    if judged:
+        asked = rank.judged_only(asked.withColumnRenamed("id", "query_id"), S.qrels(spark, d)).withColumnRenamed("query_id", "id")
+    best = checkpoint(scoring.sparse_best(asked, _both_weights(counts), [(1.0, ALPHA, 10), (1.0, 0.0, 20), (0.0, 1.0, 10)]))
+    runs = [rank.top_k(best.where(F.col("want") == want).drop("want"), k) for want, k in ((0, 10), (1, 20), (2, 10))]
+    hyb, bm25, lists = (checkpoint(r) for r in runs)
+    return hyb.drop("second"), bm25.drop("second"), lists.drop("second"), bm25.where("rank <= 10").select("query_id", "doc_id", F.col("second").alias("score"))
 
 
 def router_features(spark: SparkSession, d: str) -> DataFrame:
@@ -532,7 +532,7 @@ def _labels(spark: SparkSession, d: str, hyb: DataFrame, bm25: DataFrame, lists:
 
 
 def _scored(spark: SparkSession, d: str) -> DataFrame:
-    scores = _routing_runs(spark, d)
+    scores = _routing_runs(spark, d, judged=True)
     margin = _features(spark, d, *scores).select("query_id", (-F.col("hyb_margin12")).alias("score"))
     return checkpoint(_labels(spark, d, *scores).join(margin, "query_id").select("query_id", "score", "gain", F.col("ndcg_base").alias("base"), "y"))
 
@@ -570,7 +570,7 @@ FEATURES = ["hyb_top1", "hyb_margin12", "hyb_gap1_10", "hyb_std10", "dense_top1"
 
 
 def _routing_rows(spark: SparkSession, d: str) -> DataFrame:
-    scores = _routing_runs(spark, d)
+    scores = _routing_runs(spark, d, judged=True)
     rows = _features(spark, d, *scores).join(_labels(spark, d, *scores), "query_id").join(S.queries(spark, d).select("query_id", "dataset", "split"), "query_id")
     return checkpoint(rows)
 

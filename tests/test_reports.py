@@ -100,6 +100,16 @@ def test_overlap_rerank_looks_for_no_more_than_it_reranks(spark, monkeypatch):
     assert sorted(map(tuple, queries.overlap_rerank(spark, FOLDER).collect())) == whole and depths == [20]
 
 
+@pytest.mark.parametrize("rows", [queries._scored, queries._routing_rows])
+def test_routing_searches_once_and_for_judged_queries(spark, monkeypatch, rows):
+    searched, best = [], scoring.sparse_best
+    monkeypatch.setattr(scoring, "sparse_best", lambda asked, *rest, **more: searched.append(asked) or best(asked, *rest, **more))
+    monkeypatch.setattr(scoring, "sparse_relational", None)
+    found = {r[0] for r in rows(spark, FOLDER).select("query_id").collect()}
+    asked = {r[0] for r in searched[0].select("id").distinct().collect()}
+    assert len(searched) == 1 and found and found <= asked <= {r[0] for r in S.qrels(spark, FOLDER).select("query_id").collect()}
+
+
 def test_exact_signed_ranks(spark):
     for values in ([0.1, -0.2, 0.3, 0.4, 0.2], [0.5], [1.0, -1.0, 2.0, 2.0, -3.0, 4.0, 0.0]):
         delta = spark.createDataFrame([(f"q{i}", v) for i, v in enumerate(values)], "query_id string, delta double")
