@@ -97,23 +97,29 @@ def auc_resamples(scored: DataFrame, scores: list[str], resamples: int = 5000, s
     rows = scored.orderBy("query_id").select(F.col("y").cast("double").alias("y"), *[F.col(s).cast("double").alias(s) for s in scores]).toArrow()
     held = scored.sparkSession.sparkContext.broadcast({c: rows.column(c).to_numpy() for c in rows.column_names})
 
-    def auc(y: np.ndarray, s: np.ndarray) -> float | None:
-        p = int(y.sum())
-        if not 0 < p < len(y):
-            return None
-        values, at, counts = np.unique(s, return_inverse=True, return_counts=True)
-        ranks = (np.cumsum(counts) - (counts - 1) / 2)[at]
-        return float((ranks[y > 0].sum() - p * (p + 1) / 2) / (p * (len(y) - p)))
-
     def run(batches):
         table = held.value
-        n = len(table["y"])
+        y = table["y"]
+        n = len(y)
+        orders = {}  # sorted once; a resample is how often each row of this order is drawn
+        for s in scores:
+            order = np.argsort(table[s], kind="stable")
+            values = table[s][order]
+            orders[s] = order, y[order], np.flatnonzero(np.concatenate([[True], values[1:] != values[:-1]])) if n else order
         for batch in batches:
             found: list[list] = [[] for _ in scores]
             for b in batch.column(0).to_pylist():
-                pick = np.random.default_rng((seed, b)).integers(0, max(n, 1), n)
+                drawn = np.bincount(np.random.default_rng((seed, b)).integers(0, max(n, 1), n), minlength=n).astype(np.float64)
+                p = drawn @ y
                 for out, s in zip(found, scores):
-                    out.append(auc(table["y"][pick], table[s][pick]))
+                    if not 0 < p < n:
+                        out.append(None)
+                        continue
+                    order, labels, firsts = orders[s]
+                    times = drawn[order]
+                    counts, positive = np.add.reduceat(times, firsts), np.add.reduceat(times * labels, firsts)
+                    ranks = np.cumsum(counts) - (counts - 1) / 2
+                    out.append(float((positive @ ranks - p * (p + 1) / 2) / (p * (n - p))))
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(f, pa.float64()) for f in found)], names=["b", *scores])
 
     spark = scored.sparkSession

@@ -110,6 +110,18 @@ def test_routing_searches_once_and_for_judged_queries(spark, monkeypatch, rows):
     assert len(searched) == 1 and found and found <= asked <= {r[0] for r in S.qrels(spark, FOLDER).select("query_id").collect()}
 
 
+def test_resampled_auc_is_that_of_the_drawn_rows(spark):
+    rng = np.random.default_rng(3)
+    rows = [(f"q{i:03}", int(rng.integers(0, 2)), float(rng.integers(0, 6)), float(rng.normal())) for i in range(80)]
+    df = spark.createDataFrame(rows, "query_id string, y int, s double, t double")
+    for r in router.auc_resamples(df, ["s", "t"], 20, 5).collect():
+        pick = np.random.default_rng((5, r[0])).integers(0, 80, 80)
+        for name, column in ((1, 2), (2, 3)):
+            drawn = [(rows[i][1], rows[i][column]) for i in pick]
+            pairs = [(x > z) + (x == z) / 2 for y, x in drawn if y for o, z in drawn if not o]
+            assert r[name] == pytest.approx(sum(pairs) / len(pairs))
+
+
 def test_exact_signed_ranks(spark):
     for values in ([0.1, -0.2, 0.3, 0.4, 0.2], [0.5], [1.0, -1.0, 2.0, 2.0, -3.0, 4.0, 0.0]):
         delta = spark.createDataFrame([(f"q{i}", v) for i, v in enumerate(values)], "query_id string, delta double")
