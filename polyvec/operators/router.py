@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
+from functools import reduce
+
 import numpy as np
 import pyarrow as pa
+from pyspark import inheritable_thread_target
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -170,13 +174,13 @@ def folds(df: DataFrame, stratum: str, key: str, n: int = 5) -> DataFrame:
 
 def out_of_fold(df: DataFrame, columns: list[str], label: str, model: str = "logistic", folds_in: str = "fold") -> DataFrame:
     """``df`` with ``p``, the probability by a model that hasn't seen the row's fold."""
-    out = None
-    for fold in sorted(r[0] for r in df.select(folds_in).distinct().collect()):
-        train, test = df.where(F.col(folds_in) != fold), df.where(F.col(folds_in) == fold)
-        fitted = fit_model(train, columns, label, model)
-        scored = predict(fitted, test)
-        out = scored if out is None else out.unionByName(scored)
-    return out
+    every = sorted(r[0] for r in df.select(folds_in).distinct().collect())
+
+    def fitted_without(fold: int) -> DataFrame:
+        return predict(fit_model(df.where(F.col(folds_in) != fold), columns, label, model), df.where(F.col(folds_in) == fold))
+
+    with ThreadPoolExecutor(max(1, len(every))) as pool:  # a fit is a row of small jobs, which wait for each other only
+        return reduce(DataFrame.unionByName, pool.map(inheritable_thread_target(df.sparkSession)(fitted_without), every)) if every else None
 
 
 def fit_model(train: DataFrame, columns: list[str], label: str, model: str = "logistic"):

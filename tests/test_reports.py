@@ -3,6 +3,7 @@
 import itertools
 import math
 import random
+import threading
 
 import numpy as np
 import pytest
@@ -110,6 +111,14 @@ def test_routing_searches_once_and_for_judged_queries(spark, monkeypatch, rows):
     assert len(searched) == 1 and found and found <= asked <= {r[0] for r in S.qrels(spark, FOLDER).select("query_id").collect()}
 
 
+def test_folds_are_fitted_side_by_side(spark, monkeypatch):
+    met = threading.Barrier(3)
+    monkeypatch.setattr(router, "fit_model", lambda train, *_: met.wait(60) and None)
+    monkeypatch.setattr(router, "predict", lambda fitted, test: test)
+    df = spark.createDataFrame([(i, i % 3) for i in range(30)], "i int, fold int")
+    assert sorted(r[0] for r in router.out_of_fold(df, ["i"], "i").collect()) == list(range(30))
+
+
 def test_resampled_auc_is_that_of_the_drawn_rows(spark):
     rng = np.random.default_rng(3)
     rows = [(f"q{i:03}", int(rng.integers(0, 2)), float(rng.integers(0, 6)), float(rng.normal())) for i in range(80)]
