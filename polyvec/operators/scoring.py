@@ -417,16 +417,188 @@ def sparse_topk(queries: DataFrame, docs: DataFrame, k: int, exclude_self: bool
     return sparse_best(queries, docs, [(1.0, alpha or 0.0, k)], exclude_self, digits).select("query_id", "doc_id", "score")
 
 
-def hybrid_topk(queries: DataFrame, docs: DataFrame, query_terms: DataFrame, doc_terms: DataFrame, k: int, alpha: float = 0.3, exclude_self: bool = False, dim: int = 64) -> DataFrame:
-    """The ``k`` best per query and task by dense + ``alpha`` * sparse: vectors ``(id, vec)`` and postings ``(id, term, weight)`` of either side.
+# Numbers of one side of a cell, rows and columns of a tile of scores, share of pairs above which a shared term is a column of the product.
+CELL, ROWS, COLS, OFTEN = 24_000_000, 1024, 4096, 0.0004
+
+
+class _Items:
+    """One side of a cell in order of id: vectors, and terms as columns of the product (``often``) or postings (``rare``)."""
+
+    def __init__(self, parts: list[tuple[pa.Array, np.ndarray, np.ndarray]], kind: pa.DataType, dim: int) -> None:
+        ids = pa.chunked_array([x[0] for x in parts], kind).combine_chunks()
+        self.order, self.n, self.dim = pc.sort_indices(ids).to_numpy(), len(ids), dim
+        self.ids = ids.take(pa.array(self.order))
+        flat = np.concatenate([np.empty(0), *(x[1] for x in parts)]).reshape(self.n, dim)
+        self.flat, self.lengths = flat[self.order], np.concatenate([np.empty(0, np.int64), *(x[2] for x in parts)])
+
+    def code(self, codes: np.ndarray, weights: np.ndarray, column: np.ndarray) -> None:
+        place = np.empty(self.n, np.int64)
+        place[self.order] = np.arange(self.n)
+        row = np.repeat(place, self.lengths)
+        by = np.argsort(row, kind="stable")
+        row, codes, weights = row[by], codes[by], weights[by]
+        self.size = np.sqrt((self.flat * self.flat).sum(1)), np.sqrt(np.bincount(row, weights * weights, self.n))
+        often = column[codes] >= 0
+        self.columns = self.dim + int(column.max(initial=-1)) + 1
+        self.often, self.rare = [(r := row[keep], x[keep], weights[keep], np.searchsorted(r, np.arange(self.n + 1))) for keep, x in ((often, column[codes] + self.dim), (column[codes] == -1, codes))]
+
+    def matrix(self, a: int, b: int) -> np.ndarray:
+        out = np.zeros((b - a, self.columns))
+        out[:, : self.dim] = self.flat[a:b]
+        row, column, weight, first = self.often
+        at = slice(first[a], first[b])
+        out[row[at] - a, column[at]] = weight[at]
+        return out
+
+    def postings(self, a: int, b: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        row, code, weight, first = self.rare
+        at = slice(first[a], first[b])
+        by = np.argsort(code[at], kind="stable")
+        return row[at][by] - a, code[at][by], weight[at][by]
+
 
-    Items without a vector take no part, without terms the sparse part is 0. Both products are made block
-    by block and ranked there; no pair is written that isn't among the best.
+def _tiled(q: _Items, d: _Items, terms: int, k: int, alpha: float, exclude_self: bool, digits: int) -> Iterator[pa.RecordBatch]:
+    """The ``k`` best of a cell. A product in single precision leaves out what lies below a query's k-th best by more than its error; the rest is scored in double.
+
+    Without vectors only pairs that share a term count; if a weight may be 0 or less, there must be no columns then.
+    """
+    dim, lexical = q.dim, not q.dim
+    signed = lexical and any((w <= 0).any() for w in (q.often[2], q.rare[2], d.often[2], d.rare[2]))
+    best, where = np.full((q.n, k), -np.inf), np.full((q.n, k), -1)
+    more = np.full((q.n, k), 0.0), np.full((q.n, k), 0.0)
+    a = 1.0 if lexical else alpha
+    error = 6e-8 * (q.columns + 300) * (q.size[0] * d.size[0].max(initial=0) + abs(a) * q.size[1] * d.size[1].max(initial=0)) + 3 * 10.0**-digits * (1 + abs(a))
+    own = pc.fill_null(pc.index_in(d.ids, value_set=q.ids), -1).to_numpy() if exclude_self and q.ids.type == d.ids.type else None
+    slot, tile = np.zeros(ROWS * COLS, np.int32), np.empty(ROWS * COLS, np.float32)
+    for d0 in range(0, d.n, COLS):
+        d1 = min(d0 + COLS, d.n)
+        dm, (dr, dc, dw), wide = d.matrix(d0, d1), d.postings(d0, d1), d1 - d0
+        right = np.ascontiguousarray(dm.T, np.float32)
+        for q0 in range(0, q.n, ROWS):
+            q1 = min(q0 + ROWS, q.n)
+            qm, (qr, qc, qw), rows = q.matrix(q0, q1), q.postings(q0, q1), q1 - q0
+            left = qm.astype(np.float32)
+            left[:, dim:] *= a
+            s = tile[: rows * wide]
+            grid = np.matmul(left, right, out=s.reshape(rows, wide))
+            times = np.bincount(qc, minlength=terms)
+            start, counts = np.cumsum(times) - times, times[dc]
+            at = np.repeat(start[dc] - np.cumsum(counts) + counts, counts) + np.arange(counts.sum())
+            pair, both = qr[at] * wide + np.repeat(dr, counts), qw[at] * np.repeat(dw, counts)
+            np.add.at(s, pair, (a * both).astype(np.float32))
+            if own is not None:
+                mine = own[d0:d1] - q0
+                c = np.flatnonzero((mine >= 0) & (mine < rows))
+                grid[mine[c], c] = -np.inf
+            edge = best[q0:q1, -1] - error[q0:q1]
+            lanes = wide // 16
+            if lanes >= k and not signed and np.isneginf(edge).any():
+                most = grid[:, : lanes * 16].reshape(rows, 16, lanes).max(1)
+                edge = np.maximum(edge, np.partition(most, lanes - k, axis=1)[:, lanes - k] - 2 * error[q0:q1])
+            if lexical and not signed:
+                edge = np.maximum(edge, 1e-30)
+            found = np.flatnonzero(grid >= np.maximum(edge, -1e30).astype(np.float32)[:, None])
+            if not len(found):
+                continue
+            slot[found] = np.arange(1, len(found) + 1)
+            inside = slot[pair]
+            lex = np.bincount(inside, both, len(found) + 1)[1:].astype(np.float64)  # of no pair at all it would be integers
+            shared = np.bincount(inside, minlength=len(found) + 1)[1:] if signed else None
+            slot[found] = 0
+            fq, fd = found // wide, found % wide
+            dense = np.zeros(len(found))
+            for x in range(0, len(found), 8192):
+                one, two = qm[fq[x : x + 8192]], dm[fd[x : x + 8192]]
+                if dim:
+                    dense[x : x + 8192] = np.einsum("ij,ij->i", one[:, :dim], two[:, :dim])
+                lex[x : x + 8192] += np.einsum("ij,ij->i", one[:, dim:], two[:, dim:])
+            dense, lex = np.round(dense, digits), np.round(lex, digits)
+            score = lex if lexical else np.round(dense + alpha * lex, 9)
+            good = shared > 0 if signed else score >= best[q0 + fq, -1]
+            fq, fd, score, dense, lex = (x[good] for x in (fq, fd, score, dense, lex))
+            some = np.unique(fq)
+            if not len(some):
+                continue
+            own_rows = q0 + some
+            eq = np.concatenate([np.repeat(some, k), fq])
+            es = np.concatenate([best[own_rows].ravel(), score])
+            ed = np.concatenate([where[own_rows].ravel(), fd + d0])
+            e1, e2 = (np.concatenate([m[own_rows].ravel(), x]) for m, x in zip(more, (dense, lex)))
+            by = np.lexsort((ed, -es, eq))
+            place = np.arange(len(by)) - np.searchsorted(eq[by], eq[by])
+            by = by[place < k]
+            best[own_rows], where[own_rows], more[0][own_rows], more[1][own_rows] = (x[by].reshape(-1, k) for x in (es, ed, e1, e2))
+    for q0 in range(0, q.n, 10_000):
+        r, c = np.nonzero(where[q0 : q0 + 10_000] >= 0)
+        r += q0
+        yield pa.RecordBatch.from_arrays([q.ids.take(pa.array(r)), d.ids.take(pa.array(where[r, c])), *(pa.array(x[r, c] + 0.0) for x in (best, *more))], names=["query_id", "doc_id", "score", "dense", "lex"])
+
+
+def tiled_topk(queries: DataFrame, docs: DataFrame, k: int, alpha: float, exclude_self: bool, dim: int, digits: int, counts: tuple[int, int]) -> DataFrame:
+    """``(query_id, doc_id, score, dense, lex)``, the ``k`` best per query and cell, of sides ``(id, flat, terms, weights)`` of counted sizes.
+
+    Both sides are cut into blocks of at most ``CELL`` numbers, the documents into as many more as keep all cores busy, and every pair of
+    blocks is a cell of one task.
+    """
+    cores, each = docs.sparkSession.sparkContext.defaultParallelism, dim + 64
+    q_blocks, least = (max(1, -(-n * each // CELL)) for n in counts)
+    d_blocks = next(n for n in range(least, least + cores) if q_blocks * n % cores == 0)
+    block = lambda n: F.pmod(F.xxhash64("id"), F.lit(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    q_kind, d_kind = _kind(queries), _kind(docs)
+    q_type, d_type = (to_arrow_type(t.schema["id"].dataType) for t in (queries, docs))
+    columns = ["flat", "terms", "weights"]
+    left = queries.select(block(q_blocks).alias("q"), every(d_blocks).alias("d"), F.lit(True).alias("asks"), F.col("id").alias("q_id"), F.lit(None).cast(d_kind).alias("d_id"), *columns)
+    right = docs.select(every(q_blocks).alias("q"), block(d_blocks).alias("d"), F.lit(False).alias("asks"), F.lit(None).cast(q_kind).alias("q_id"), F.col("id").alias("d_id"), *columns)
+    cells = left.unionByName(right).withColumn("cell", (F.col("q") * d_blocks + F.col("d")).cast("int")).drop("q", "d").repartitionById(q_blocks * d_blocks, "cell")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sides: dict[bool, list] = {True: [], False: []}
+        for batch in batches:
+            asks = batch.column("asks")
+            for mine, name in ((True, "q_id"), (False, "d_id")):
+                rows = batch.filter(asks if mine else pc.invert(asks))
+                terms = rows.column("terms")
+                sides[mine].append((rows.column(name), rows.column("flat").flatten().to_numpy(zero_copy_only=False), _lengths(terms), terms.flatten(), rows.column("weights").flatten().to_numpy(zero_copy_only=False)))
+        if not sides[True]:
+            return
+        coded = pa.chunked_array([x[3] for side in sides.values() for x in side]).combine_chunks().dictionary_encode()
+        terms, codes = len(coded.dictionary), coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+        cut = sum(len(x[3]) for x in sides[True])
+        q, d = _Items([x[:3] for x in sides[True]], q_type, dim), _Items([x[:3] for x in sides[False]], d_type, dim)
+        weights = [np.concatenate([x[4] for x in side]) for side in sides.values()]
+        sides.clear()
+        asked, has = np.bincount(codes[:cut], minlength=terms), np.bincount(codes[cut:], minlength=terms)
+        pairs = asked.astype(np.float64) * has
+        column = np.where(pairs > 0, -1, -2)  # -2: a term of one side only
+        most = 480 if dim or all((w > 0).all() for w in weights) else 0  # a column doesn't tell a weight of 0 from none
+        often = np.argsort(-pairs)[: min(most, int((pairs > OFTEN * q.n * d.n).sum()))]
+        column[often] = np.arange(len(often))
+        q.code(codes[:cut], weights[0], column)
+        d.code(codes[cut:], weights[1], column)
+        del codes, weights
+        yield from _tiled(q, d, max(1, terms), k, alpha, exclude_self, digits)
+
+    return cells.mapInArrow(run, f"query_id {q_kind}, doc_id {d_kind}, score double, dense double, lex double")
+
+
+def hybrid_topk(queries: DataFrame, docs: DataFrame, query_terms: DataFrame, doc_terms: DataFrame, k: int, alpha: float = 0.3, exclude_self: bool = False, dim: int = 64, parts: bool = False) -> DataFrame:
+    """The ``k`` best per query and cell by dense + ``alpha`` * sparse: vectors ``(id, vec)`` and postings ``(id, term, weight)`` of either side.
+
+    Items without a vector take no part, without terms the sparse part is 0. Both products are made tile
+    by tile and ranked there; no pair is written that isn't among the best. With ``parts`` its ``dense`` and ``lex`` come too.
     """
     q, d = (v.select("id", F.col("vec").alias("flat")).join(term_lists(t), "id", "left") for v, t in ((queries, query_terms), (docs, doc_terms)))
-    d = d.select("id", "flat", *[F.coalesce(c, F.array().cast(d.schema[c].dataType)).alias(c) for c in ("terms", "weights")])
-    q = q.select("id", "flat", *[F.coalesce(c, F.array().cast(q.schema[c].dataType)).alias(c) for c in ("terms", "weights")])
-    return _in_blocks(Kernel(dim, True, alpha), q, d, k, exclude_self, q, dim + 64)
+    q, d = (t.select("id", "flat", *[F.coalesce(c, F.array().cast(t.schema[c].dataType)).alias(c) for c in ("terms", "weights")]) for t in (q, d))
+    found = tiled_topk(q, d, k, alpha, exclude_self, dim, 6, (queries.count(), docs.count()))
+    return found if parts else found.drop("dense", "lex")
+
+
+def lexical_topk(queries: DataFrame, docs: DataFrame, k: int, exclude_self: bool = False, digits: int = 6) -> DataFrame:
+    """``sparse_topk`` for two large sides of many shared terms, by tiles."""
+    q, d = (term_lists(t).withColumn("flat", F.array().cast("array<double>")) for t in (queries, docs))
+    sizes = tuple(t.select("id").distinct().count() for t in (queries, docs))
+    return tiled_topk(q, d, k, 1.0, exclude_self, 0, digits, sizes).drop("dense", "lex")
 
 
 def maxsim_relational(queries: DataFrame, docs: DataFrame, pairs: DataFrame) -> DataFrame:

@@ -6,6 +6,7 @@ import random
 import threading
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -90,6 +91,19 @@ def test_several_fusions_from_one_scoring(spark, monkeypatch, held, block):
         assert found.where("want = 0").join(two.withColumnRenamed("score", "other"), ["query_id", "doc_id"], "left").where("second is distinct from other").count() == 0
 
 
+def test_postings_in_chunks(monkeypatch):
+    monkeypatch.setattr(scoring, "HELD", 5)
+    rng = np.random.default_rng(4)
+    rows = [(i, v) for i, _, v in items(rng, 60, 0, False) if v]
+    table = lambda part: pa.RecordBatch.from_arrays([pa.array([i for i, _ in part]), pa.array([list(map(str, v)) for _, v in part]), pa.array([list(v.values()) for _, v in part])], names=["id", "terms", "weights"])
+    got: dict[str, list] = {}
+    for batch in scoring._ranked(scoring._Asked(table(rows)), (table(rows[i : i + 2]) for i in range(0, len(rows), 2)), ["weights"], [(1.0, 0.0, 4)], 6, True, pa.string()):
+        for r in batch.to_pylist():
+            got.setdefault(r["query_id"], []).append((-r["score"], r["doc_id"]))
+    for q, t in rows:
+        assert sorted(got.get(q, []))[:4] == sorted((-sum(w * v.get(x, 0.0) for x, w in t.items()), d) for d, v in rows if d != q and t.keys() & v.keys())[:4]
+
+
 def test_alphas_write_no_row_per_matching_pair(spark, monkeypatch):
     monkeypatch.setattr(scoring, "sparse_scores", None)
     assert queries.alpha_sensitivity(spark, FOLDER).count() == len(queries.ALPHAS)
@@ -101,6 +115,47 @@ def test_overlap_rerank_looks_for_no_more_than_it_reranks(spark, monkeypatch):
     assert sorted(map(tuple, queries.overlap_rerank(spark, FOLDER).collect())) == whole and depths == [20]
 
 
+def items(rng, n, dim, signed):
+    """Vectors and terms of ``n`` items with many equal scores, as ``(id, vector, {term: weight})``."""
+    low = -2 if signed else 1
+    return [(f"i{i:03}", rng.integers(-2, 3, dim).astype(float), {int(t): float(rng.integers(low, 3)) for t in np.unique(rng.integers(0, 40, rng.integers(0, 6)) ** 2 // 40)}) for i in range(n)]
+
+
+@pytest.mark.parametrize("dim, signed, columns", [(0, False, 3), (0, True, 0), (4, False, 0), (4, True, 40)])
+def test_tiles_are_brute_force(monkeypatch, dim, signed, columns):
+    monkeypatch.setattr(scoring, "ROWS", 16)
+    monkeypatch.setattr(scoring, "COLS", 64)
+    rng = np.random.default_rng(dim + signed)
+    rows = items(rng, 150, dim, signed)
+    part = [rows[i] for i in rng.permutation(150)]
+    flat, ids = np.concatenate([r[1] for r in part]) if dim else np.empty(0), pa.array([r[0] for r in part])
+    codes, weights = (np.array([x for r in part for x in pick(r[2])]) for pick in (dict.keys, dict.values))
+    column = np.where(np.arange(40) < columns, np.arange(40), -1)
+    sides = [scoring._Items([(ids, flat, np.array([len(r[2]) for r in part]))], pa.string(), dim) for _ in range(2)]
+    for side in sides:
+        side.code(codes, weights, column)
+    got = sorted(tuple(r.values())[:3] for b in scoring._tiled(*sides, 40, 5, 0.3, True, 6) for r in b.to_pylist())
+    want = []
+    for q, v, t in rows:
+        scores = []
+        for d, u, s in rows:
+            shared, lex = t.keys() & s.keys(), sum(w * s.get(x, 0.0) for x, w in t.items())
+            if d != q and (dim or shared):
+                scores.append((-round(v @ u + 0.3 * lex, 9) if dim else -lex, d))
+        want += [(q, d, -x) for x, d in sorted(scores)[:5]]
+    assert [r[:2] for r in got] == [r[:2] for r in sorted(want)] and [r[2] for r in got] == pytest.approx([r[2] for r in sorted(want)])
+
+
+@pytest.mark.parametrize("cell", [24_000_000, 1000])
+def test_lexical_tiles_are_the_plain_join(spark, monkeypatch, cell):
+    monkeypatch.setattr(scoring, "CELL", cell)
+    _, dt = vectors(spark, 70, 2, "d")
+    low = dt.withColumn("weight", F.col("weight") - 2)
+    for t in (dt, low):
+        assert ranked(scoring.lexical_topk(t, t, 5, exclude_self=True), 5) == ranked(scoring.sparse_scores(t, t, exclude_self=True), 5)
+    assert scoring.lexical_topk(dt.limit(0), dt, 5).count() == scoring.lexical_topk(dt, dt.limit(0), 5).count() == 0
+
+
 @pytest.mark.parametrize("rows", [queries._scored, queries._routing_rows])
 def test_routing_searches_once_and_for_judged_queries(spark, monkeypatch, rows):
     searched, best = [], scoring.sparse_best
