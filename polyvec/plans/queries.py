@@ -219,7 +219,7 @@ def bm25_stemmed(spark: SparkSession, d: str) -> DataFrame:
 
 def lexical_topk(spark: SparkSession, d: str) -> DataFrame:
     w = S.sparse_weights(spark, d)
-    return rank.top_k(scoring.sparse_topk(w, w, 10, exclude_self=True), 10)
+    return rank.top_k(scoring.lexical_topk(w, w, 10, exclude_self=True), 10)
 
 
 def postings_read(spark: SparkSession, d: str) -> DataFrame:

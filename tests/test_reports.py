@@ -156,6 +156,12 @@ def test_lexical_tiles_are_the_plain_join(spark, monkeypatch, cell):
     assert scoring.lexical_topk(dt.limit(0), dt, 5).count() == scoring.lexical_topk(dt, dt.limit(0), 5).count() == 0
 
 
+def test_lexical_topk_goes_by_tiles(spark, monkeypatch):
+    monkeypatch.setattr(scoring, "sparse_topk", None)
+    w = S.sparse_weights(spark, FOLDER)
+    assert ranked(queries.lexical_topk(spark, FOLDER).drop("rank"), 10) == ranked(scoring.sparse_scores(w, w, exclude_self=True), 10)
+
+
 @pytest.mark.parametrize("rows", [queries._scored, queries._routing_rows])
 def test_routing_searches_once_and_for_judged_queries(spark, monkeypatch, rows):
     searched, best = [], scoring.sparse_best
