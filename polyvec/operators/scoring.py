@@ -612,6 +612,62 @@ def maxsim_relational(queries: DataFrame, docs: DataFrame, pairs: DataFrame) ->
     return best.groupBy("query_id", "doc_id").agg(F.round(F.sum("p"), 6).alias("score"))
 
 
+def maxsim_of_pairs(queries: DataFrame, docs: DataFrame, pairs: DataFrame, unit: bool = False, digits: int = 6, dim: int = 64) -> DataFrame:
+    """``maxsim_relational`` for many pairs: a bag goes once to each cell of a block of queries and one of documents, not once to each of its pairs.
+
+    ``unit``: vectors are brought to unit length in the kernel, so that they may come in single precision. Pairs without both bags give no row.
+    """
+    cores = docs.sparkSession.sparkContext.defaultParallelism
+    q_blocks, least = (max(int(cores**0.5), -(-t.count() * dim // (2 * CELL))) for t in (queries, docs))
+    d_blocks = next(n for n in range(least, least + cores) if q_blocks * n % cores == 0)
+    block = lambda c, n: F.pmod(F.xxhash64(c), F.lit(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    q, d, p = bags(queries), bags(docs), pairs.select("query_id", "doc_id")
+    q_kind, d_kind, flat = _kind(queries), _kind(docs), q.schema["flat"].dataType
+    left = q.select(block("id", q_blocks).alias("q"), every(d_blocks).alias("d"), F.lit(0).alias("part"), F.col("id").alias("q_id"), F.lit(None).cast(d_kind).alias("d_id"), "flat")
+    right = d.select(every(q_blocks).alias("q"), block("id", d_blocks).alias("d"), F.lit(1).alias("part"), F.lit(None).cast(q_kind).alias("q_id"), F.col("id").alias("d_id"), "flat")
+    both = p.select(block("query_id", q_blocks).alias("q"), block("doc_id", d_blocks).alias("d"), F.lit(2).alias("part"), F.col("query_id").alias("q_id"), F.col("doc_id").alias("d_id"), F.lit(None).cast(flat).alias("flat"))
+    cells = left.unionByName(right).unionByName(both).select((F.col("q") * d_blocks + F.col("d")).cast("int").alias("cell"), "part", "q_id", "d_id", "flat").repartitionById(q_blocks * d_blocks, "cell")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sides: list[list] = [[], [], []]
+        for batch in batches:
+            for part in range(3):
+                sides[part].append(batch.filter(pc.equal(batch.column("part"), part)))
+        if not sides[2]:
+            return
+        ids, numbers, sizes, starts = [], [], [], []
+        for part, name in ((0, "q_id"), (1, "d_id")):
+            ids.append(pa.chunked_array([b.column(name) for b in sides[part]]).combine_chunks())
+            numbers.append(np.concatenate([b.column("flat").flatten().to_numpy(zero_copy_only=False) for b in sides[part]]).reshape(-1, dim))
+            sizes.append(np.concatenate([_lengths(b.column("flat")) for b in sides[part]]) // dim)
+            starts.append(np.cumsum(sizes[-1]) - sizes[-1])
+            sides[part] = []
+        for batch in sides[2]:
+            at = [pc.fill_null(pc.index_in(batch.column(n), value_set=v), -1).to_numpy(zero_copy_only=False) for n, v in zip(("q_id", "d_id"), ids)]
+            there = np.flatnonzero((at[0] >= 0) & (at[1] >= 0))
+            there = there[(sizes[0][at[0][there]] > 0) & (sizes[1][at[1][there]] > 0)]
+            if not len(there):
+                continue
+            every_size = sizes[0][at[0][there]] * sizes[1][at[1][there]]
+            cuts = np.flatnonzero(np.diff(np.cumsum(every_size) // 32_768, prepend=-1))
+            for a, b in zip(cuts, [*cuts[1:], len(there)]):
+                q, d = at[0][there[a:b]], at[1][there[a:b]]
+                n, m = sizes[0][q], sizes[1][d]
+                first, wide = np.repeat(starts[0][q], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n), np.repeat(m, n)  # a row a query's vector
+                begin = np.cumsum(wide) - wide
+                second = np.repeat(np.repeat(starts[1][d], n) - begin, wide) + np.arange(wide.sum())
+                one, two = numbers[0][first].astype(np.float64), numbers[1][second].astype(np.float64)
+                if unit:
+                    one, two = (x / np.maximum(np.sqrt(np.einsum("ij,ij->i", x, x)), 1e-12)[:, None] for x in (one, two))
+                best = np.maximum.reduceat(np.einsum("ij,ij->i", np.repeat(one, wide, axis=0), two), begin)
+                score = np.round(np.add.reduceat(best, np.cumsum(n) - n), digits) + 0.0
+                pick = pa.array(there[a:b])
+                yield pa.RecordBatch.from_arrays([batch.column("q_id").take(pick), batch.column("d_id").take(pick), pa.array(score)], names=["query_id", "doc_id", "score"])
+
+    return cells.mapInArrow(run, f"query_id {q_kind}, doc_id {d_kind}, score double")
+
+
 def dense_relational(queries: DataFrame, docs: DataFrame, pairs: DataFrame, digits: int = 6) -> DataFrame:
     """Dot products of the listed pairs."""
     from polyvec.functions.vectors import dot

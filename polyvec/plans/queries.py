@@ -249,9 +249,9 @@ def nnz_stats(spark: SparkSession, d: str) -> DataFrame:
 # --- fusion
 
 
-def _hybrid_run(spark: SparkSession, d: str, k: int) -> DataFrame:
+def _hybrid_run(spark: SparkSession, d: str, k: int, parts: bool = False) -> DataFrame:
     v, w = S.dense_vectors(spark, d), S.sparse_weights(spark, d)
-    return rank.top_k(scoring.hybrid_topk(v, v, w, w, k, ALPHA, exclude_self=True, dim=32), k)
+    return rank.top_k(scoring.hybrid_topk(v, v, w, w, k, ALPHA, exclude_self=True, dim=32, parts=parts), k)
 
 
 def hybrid_topk(spark: SparkSession, d: str) -> DataFrame:
@@ -259,11 +259,10 @@ def hybrid_topk(spark: SparkSession, d: str) -> DataFrame:
 
 
 def hybrid_three_way(spark: SparkSession, d: str) -> DataFrame:
-    """0.4 dense + 0.2 sparse + 0.4 MaxSim on the hybrid's first 20, each score of these pairs only."""
-    run = checkpoint(_hybrid_run(spark, d, 20).select("query_id", "doc_id"))
-    v, w, bags = S.dense_vectors(spark, d), S.sparse_weights(spark, d), S.token_bags(spark, d)
-    parts = [(0.4, scoring.dense_relational(v, v, run)), (0.2, scoring.sparse_relational(w, w, run)), (0.4, scoring.maxsim_relational(bags, bags, run))]
-    return rank.top_k(scoring.weighted_fusion(parts), 10)
+    """0.4 dense + 0.2 sparse + 0.4 MaxSim on the hybrid's first 20, each score of these pairs only; the first two come with the run."""
+    run, bags = checkpoint(_hybrid_run(spark, d, 20, parts=True)), S.token_bags(spark, d, unit=False)
+    known = run.select("query_id", "doc_id", (0.4 * F.col("dense") + 0.2 * F.col("lex")).alias("score"))
+    return rank.top_k(scoring.weighted_fusion([(1.0, known), (0.4, scoring.maxsim_of_pairs(bags, bags, run, unit=True))]), 10)
 
 
 def _keyed(df: DataFrame) -> DataFrame:

@@ -61,11 +61,11 @@ def qrels(spark: SparkSession, folder: str) -> DataFrame:
     return latest(rows, ["query_id", "doc_id"], "judged_at", F.col("score").desc()).select("query_id", "doc_id", F.col("score").alias("rel")).where("rel > 0")
 
 
-def token_bags(spark: SparkSession, folder: str) -> DataFrame:
-    """``(id, pos, vec)``: unit token vectors of every document, without null, zero and NaN vectors."""
+def token_bags(spark: SparkSession, folder: str, unit: bool = True) -> DataFrame:
+    """``(id, pos, vec)``: token vectors of every document, at unit length or as stored, without null, zero and NaN vectors."""
     rows = read_table(spark, folder, "token_embeddings").where(is_finite(F.col("colbert_flat")))
     one = rows.groupBy("token_id").agg(F.min(F.struct("doc_id", "pos", "colbert_flat")).alias("r"))
-    return one.select(F.col("r.doc_id").alias("id"), F.col("token_id").alias("pos"), normalise(F.col("r.colbert_flat")).alias("vec"))
+    return one.select(F.col("r.doc_id").alias("id"), F.col("token_id").alias("pos"), (normalise(F.col("r.colbert_flat")) if unit else F.col("r.colbert_flat")).alias("vec"))
 
 
 def query_bags(spark: SparkSession, folder: str) -> DataFrame:

@@ -10,6 +10,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
+from polyvec.functions.vectors import normalise
 from polyvec.operators import encode, metrics, rank, router, scorers, scoring, stats
 from polyvec.operators.ordered import percentiles, running
 from polyvec.plans import objects, queries, report_queries, reports
@@ -156,6 +157,25 @@ def test_lexical_tiles_are_the_plain_join(spark, monkeypatch, cell):
     assert scoring.lexical_topk(dt.limit(0), dt, 5).count() == scoring.lexical_topk(dt, dt.limit(0), 5).count() == 0
 
 
+@pytest.mark.parametrize("cell", [24_000_000, 40])
+def test_maxsim_of_pairs_is_the_plain_join(spark, monkeypatch, cell):
+    monkeypatch.setattr(scoring, "CELL", cell)
+    rng = np.random.default_rng(5)
+    rows = [(f"d{i}", j, rng.normal(size=8).tolist()) for i in range(30) for j in range(rng.integers(0, 5))]
+    stored = spark.createDataFrame(rows, "id string, pos bigint, vec array<float>")
+    whole = stored.withColumn("vec", normalise(F.col("vec")))
+    pairs = spark.createDataFrame([(f"d{rng.integers(32)}", f"d{i}") for i in range(32) for _ in range(3)], "query_id string, doc_id string").distinct()
+    got, want = (sorted(map(tuple, t.collect())) for t in (scoring.maxsim_of_pairs(stored, stored, pairs, unit=True, dim=8), scoring.maxsim_relational(whole, whole, pairs)))
+    assert [r[:2] for r in got] == [r[:2] for r in want] and [r[2] for r in got] == pytest.approx([r[2] for r in want], abs=2e-6)
+    assert scoring.maxsim_of_pairs(stored, stored, pairs.limit(0), dim=8).count() == 0
+
+
+def test_three_way_scores_no_pair_by_joins(spark, monkeypatch):
+    for name in ("dense_relational", "sparse_relational", "maxsim_relational"):
+        monkeypatch.setattr(scoring, name, None)
+    assert queries.hybrid_three_way(spark, FOLDER).count() > 0
+
+
 def test_lexical_topk_goes_by_tiles(spark, monkeypatch):
     monkeypatch.setattr(scoring, "sparse_topk", None)
     w = S.sparse_weights(spark, FOLDER)
